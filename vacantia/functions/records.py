@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Names and patterns of the portals' formats.
 MONTHS = ("ene", "feb", "mar", "abr", "may", "jun", "jul", "ago", "sep", "oct", "nov", "dic")
@@ -130,7 +131,7 @@ def job_posting(page: Column) -> Column:
     return F.get(F.filter(parsed, lambda x: x["@type"] == "JobPosting"), F.lit(0))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def repair_json(answer: pd.Series) -> pd.Series:
     """A JSON object from a model's answer: fences go, a bare array becomes ``{"skills": [...]}``, missing ends are added; null if it can't be read."""
 

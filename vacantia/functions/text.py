@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Entities that a chain of built-in replacements decodes; the ampersand comes last.
 BASIC_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -22,7 +24,12 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@pandas_udf("string")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, also where ``body`` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+@pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     """All named and numeric entities of HTML 5."""
     return text.map(html.unescape, na_action="ignore")
@@ -106,7 +113,7 @@ def strip_marks(c: Column | str) -> Column:
     return F.translate(_col(c), _MARKED, _PLAIN)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def to_ascii(text: pd.Series) -> pd.Series:
     """Compatibility decomposition; what is not ASCII then goes."""
     return text.map(lambda t: unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode(), na_action="ignore")
@@ -117,7 +124,7 @@ def matching_form(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(strip_marks(F.lower(_col(c))), "[^a-z0-9\\s]", " "), "\\s+", " "))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def title_case(text: pd.Series) -> pd.Series:
     """Python's title case: a letter after anything that is no letter is upper case."""
     return text.map(str.title, na_action="ignore")
@@ -125,12 +132,12 @@ def title_case(text: pd.Series) -> pd.Series:
 
 def ngrams(c: Column, most: int) -> Column:
     """Structs (ngram, start, end, size) of all token n-grams of a text with single spaces."""
-    tokens = F.filter(F.split(c, " "), lambda w: w != "")
-    one = lambda n: F.when(
-        F.size(tokens) >= n,
-        F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(F.array_join(F.slice(tokens, i + 1, F.lit(n)), " ").alias("ngram"), i.cast("int").alias("start"), (i + n - 1).cast("int").alias("end"), F.lit(n).alias("size"))),
-    ).otherwise(F.array().cast("array<struct<ngram:string,start:int,end:int,size:int>>"))
-    return F.flatten(F.array(*[one(n) for n in range(1, most + 1)]))
+
+    def of(tokens: Column, n: int) -> Column:
+        one = lambda i: F.struct(F.array_join(F.slice(tokens, i + 1, F.lit(n)), " ").alias("ngram"), i.cast("int").alias("start"), (i + n - 1).cast("int").alias("end"), F.lit(n).alias("size"))
+        return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), one)).otherwise(F.array().cast("array<struct<ngram:string,start:int,end:int,size:int>>"))
+
+    return let(F.filter(F.split(c, " "), lambda w: w != ""), lambda tokens: F.flatten(F.array(*[of(tokens, n) for n in range(1, most + 1)])))
 
 
 def context(text: Column, start: Column, length: Column, window: int = 50) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.functions.text import let
+
 TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_#+\-.]*"
 
 
@@ -13,13 +15,12 @@ def terms(docs: DataFrame, most: int = 3, stopwords: tuple[str, ...] = (), id_co
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"({TOKEN})"), 1)
     if stopwords:
         tokens = F.filter(tokens, lambda t: ~t.isin(*stopwords))
-    rows = docs.select(F.col(id_col).alias("doc"), tokens.alias("t"))
 
-    def grams(n: int) -> Column:
-        return F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " "))).otherwise(F.array().cast("array<string>"))
+    def grams(t: Column, n: int) -> Column:
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
-    every = F.flatten(F.array(*[grams(n) for n in range(1, most + 1)]))
-    return rows.select("doc", F.explode(every).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    every = let(tokens, lambda t: F.flatten(F.array(*[grams(t, n) for n in range(1, most + 1)])))
+    return docs.select(F.col(id_col).alias("doc"), F.explode(every).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tf: DataFrame, n_docs: int, least: int = 2, share: float = 0.3, features: int | None = None) -> DataFrame:
