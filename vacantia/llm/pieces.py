@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -23,8 +23,8 @@ from vacantia.llm._util import column, slices
 MARK = "▁"
 _MARK = MARK.encode()
 _PARTS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*").findall
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE = 600_000
+#: Distinct pre-tokens that a worker remembers before it drops the rarer ones.
+CACHE = 450_000
 
 
 class CharsMap:
@@ -99,6 +99,17 @@ class Pieces:
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the pre-tokens seen most often, a third of what fits."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE // 3])
+        names = list(self.known)
+        self.known = {names[k]: j for j, k in enumerate(keep.tolist())}
+        counts = self.count[keep]
+        ends = np.cumsum(counts)
+        self.flat = self.flat[np.repeat(self.start[keep] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        self.start, self.count, self.uses = ends - counts, counts, np.zeros(len(keep), np.int64)
 
     # -- normalisation
 
@@ -145,6 +156,7 @@ class Pieces:
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))))
         self.start = np.concatenate((self.start, base + np.cumsum(lengths) - lengths))
         self.count = np.concatenate((self.count, lengths))
+        self.uses = np.concatenate((self.uses, np.zeros(len(ids), np.int64)))
 
     @staticmethod
     def _pretokens(text: str) -> list[str]:
@@ -158,12 +170,13 @@ class Pieces:
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
             return np.array([i for x in ids for i in x], np.int32), offsets
         if len(self.known) > CACHE:
-            self._forget()
+            self._shrink()
         parts = [self._pretokens(t) for t in texts]
         new = set().union(*parts).difference(self.known)
         if new:
             self._learn(list(new))
         number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        self.uses += np.bincount(number, minlength=len(self.uses))
         counts = self.count[number]
         per_text = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         ends = np.concatenate(([0], np.cumsum(counts)))
@@ -243,3 +256,28 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
                 yield pa.RecordBatch.from_arrays([column(part, "id"), pa.array(texts, pa.string())], ["id", "text"])
 
     return encoded.selectExpr(f"`{id_col}` AS id", f"`{ids_col}` AS ids").mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+
+
+def round_trips(docs: DataFrame, model_file: str, summarise: Callable[[list[int], np.ndarray, np.ndarray, str], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id and what ``summarise(ids, begins, ends, decoded)`` returns, columns as in ``schema``.
+
+    Encoding, spans and decoding of a text happen in one pass, so no array of ids leaves the worker.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(model_file)
+        names = [f.split()[0] for f in schema.split(",")]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = ["" if t is None else t for t in column(part, "text").to_pylist()]
+                ids, offsets = model.encode_batch(texts)
+                rows = []
+                for t, a, b in zip(texts, offsets.tolist(), offsets[1:].tolist(), strict=False):
+                    own = ids[a:b]
+                    begins, ends = model.spans(t, own)
+                    own = own.tolist()
+                    rows.append(summarise(own, begins, ends, model.decode(own)))
+                yield pa.RecordBatch.from_arrays([column(part, "id"), *[pa.array(c) for c in zip(*rows, strict=True)]], ["id", *names])
+
+    return docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import avi, chat, exact_dedup, kd_shard, langid, lattice, mixing, ngram_join, pieces, quality
-from vacantia.llm._util import column
 
 #: Labelled rows that the quality classifier is fitted on, and documents per language for the language models.
 QUALITY_ROWS, LANG_ROWS = 4000, 1000
@@ -74,23 +73,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    model_file = piece_model()
-    encoded = pieces.encode(docs, model_file, spans=True)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces.loaded(model_file)
+    def digest(ids: list[int], begins: np.ndarray, ends: np.ndarray, decoded: str) -> tuple:
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = column(part, "ids").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [column(part, "doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha(" ".join(map(str, x))) for x in ids]), pa.array([sha(model.decode(x)) for x in ids]), pa.array([int(e[-1]) if e else 0 for e in column(part, "ends").to_pylist()], pa.int64())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"],
-                )
-
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+        return len(ids), sha(" ".join(map(str, ids))), sha(decoded), int(ends[-1]) if len(ends) else 0
+
+    return pieces.round_trips(docs, piece_model(), digest, "n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
 
 
 def domain() -> Column:
