@@ -23,7 +23,13 @@ _DDL = {
     "esco_skill_groups": "group_id string, name_es string, name_en string, description string, parent_group_id string",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+
+def schema(relation: str) -> StructType:
+    """The schema of a relation; needs a session, as Spark parses it."""
+    return StructType.fromDDL(_DDL[relation])
+
+
+RELATIONS = tuple(_DDL)
 
 #: Allowed values, kept as rules for quarantine rather than constraints.
 ALLOWED = {

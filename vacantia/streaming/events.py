@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 TOPICS = ("jobs_scraped", "skills_extracted", "skills_enhanced", "clustering_completed")
-PAYLOAD = StructType.fromDDL("event string, timestamp timestamp, data struct<job_ids:array<string>,count:int,country:string,spider:string>")
+PAYLOAD = "event string, timestamp timestamp, data struct<job_ids:array<string>,count:int,country:string,spider:string>"
 #: Which task an event starts.
 NEXT_TASK = {"jobs_scraped": "extract", "skills_extracted": "enhance", "skills_enhanced": "embed"}
 
