@@ -35,7 +35,7 @@ def exact(skills: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 def manual(skills: DataFrame, taxonomy: DataFrame, mapping: DataFrame) -> DataFrame:
     """``mapping``: skill, target, confidence; the target is part of a label, the shortest such label wins."""
-    wanted = skills.join(F.broadcast(mapping.select("skill", F.lower("target").alias("target"), "confidence")), "skill")
+    wanted = skills.join(mapping.select("skill", F.lower("target").alias("target"), "confidence"), "skill")
     found = wanted.join(_labels(taxonomy), F.expr("contains(key, target)"))
     w = Window.partitionBy("skill").orderBy(F.length("key"), "skill_uri")
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("skill", "skill_uri", "label", "confidence", F.lit("manual_dict").alias("method"))
