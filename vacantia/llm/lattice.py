@@ -22,7 +22,7 @@ from vacantia.llm._util import Scratch, column, lower_ascii, partitions, slices,
 #: Stands for the space mark before a word; a byte that no word holds.
 MARK = b" "
 #: Bytes of text a task takes at once for the join, and distinct words it counts before it sends them on.
-SLICE, DISTINCT = 8 << 20, 400_000
+SLICE, DISTINCT = 3 << 20, 200_000
 #: Share of the probability that goes to bytes, so that any text has a segmentation.
 BYTES = 0.02
 
