@@ -8,6 +8,7 @@ the expected tokens of each domain match the targets. DataFrame and SQL function
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,49 +20,60 @@ from vacantia.llm._util import Scratch
 GRID = 32
 #: Most labelled rows that the classifier is fitted on, and marker words kept for each domain.
 MOST_LABELLED, MARKERS = 4000, 40
-#: Of documents whose rate lies below 1 a share stays; relative error and steps at which the fit stops.
-CLOSE, STEPS = 1e-4, 120
+#: Marks that may end a word and then count as a feature of their own.
+MARKS = "!?%&$#*@~^|<>=+"
+#: Projected-gradient steps; the problem is scaled so that a few dozen reach the targets.
+STEPS = 150
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _features(words: Column) -> Column:
-    """What a document shows: its distinct words, with words that end in marks or repeat at once folded."""
-    ends = F.transform(words, lambda w: F.regexp_extract(w, "[^\\p{L}\\p{N}.,]+$", 0))
-    return F.array_union(F.array_distinct(words), F.array_distinct(F.transform(ends, lambda e: F.concat(F.lit("\x01end "), e))))
+    """What a document shows: its distinct words, and the runs of marks that words end in."""
+    end = lambda w: F.concat(F.lit("\x01end "), F.substring(w, F.length(F.rtrim(w, F.lit(MARKS))) + 1, F.length(w)))
+    return _let(F.array_distinct(words), lambda d: F.array_union(d, F.array_distinct(F.transform(d, end))))
 
 
-def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_col: str) -> dict:
+def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, id_col: str, text_col: str, scratch: Scratch) -> dict:
     """Domains, log priors and marker weights from about ``MOST_LABELLED`` labelled rows, chosen by id hash.
 
     A marker's weight in a domain is the log odds of its presence there, smoothed by a half.
     """
     known = labels.select(F.col(id_col).alias("_id"), domain.alias("_d")).where("_id is not null and _d is not null").groupBy("_id").agg(F.max("_d").alias("_d"))
-    total = known.count()
-    share = min(1_000_000, int(1_000_000 * MOST_LABELLED / max(total, 1)))
+    sizes = {r["_d"]: r["n"] for r in known.groupBy("_d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_d").limit(64).collect()}
+    share = min(1_000_000, int(1_000_000 * MOST_LABELLED / max(sum(sizes.values()), 1)))
     picked = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share).limit(2 * MOST_LABELLED)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).join(F.broadcast(picked), "_id").select("_d", F.explode(F.array_append(_features(_words(F.col("_t"))), F.lit("\x01doc"))).alias("w"))
-    counts = rows.groupBy("w").pivot("_d", sorted(r[0] for r in known.select("_d").distinct().limit(64).collect())).agg(F.count(F.lit(1))).na.fill(0)
-    domains = counts.columns[1:]
+    domains = sorted(sizes)
     if not domains:
         return {"domains": ["all"], "prior": [0.0], "weights": {}}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sampled = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).join(F.broadcast(picked), "_id")
+    rows = sampled.select("_d", F.explode(F.array_append(_features(_words(F.col("_t"))), F.lit("\x01doc"))).alias("w"))
+    seen = [F.count_if(F.col("_d") == d).alias(f"n{k}") for k, d in enumerate(domains)]
+    counts = scratch.cut(rows.groupBy("w").agg(*seen).where(" + ".join(f"n{k}" for k in range(len(domains))) + " > 2"), "counts")
     base = counts.where(F.col("w") == "\x01doc").first()
-    n = [base[f"{d}"] if base else 0 for d in domains]
+    n = [base[f"n{k}"] if base else 0 for k in range(len(domains))]
     if not sum(n):
         return {"domains": domains, "prior": [0.0] * len(domains), "weights": {}}
     every = sum(n)
-    all_of = sum((F.col(f"`{d}`") for d in domains), F.lit(0))
-    weights: dict[str, list[float]] = {}
-    for k, d in enumerate(domains):
-        own, rest = F.col(f"`{d}`"), all_of - F.col(f"`{d}`")
+    all_of = sum((F.col(f"n{k}") for k in range(len(domains))), F.lit(0))
+    best = None
+    for k in range(len(domains)):
+        own, rest = F.col(f"n{k}"), all_of - F.col(f"n{k}")
         odds = F.log((own + 0.5) / (n[k] + 1.0)) - F.log((rest + 0.5) / (every - n[k] + 1.0))
         # presence that tells most: weight times how often it is seen
-        best = counts.where(F.col("w") != "\x01doc").withColumn("gain", odds * F.sqrt(own)).orderBy(F.desc("gain"), "w").limit(MARKERS)
-        for r in best.where("gain > 0").collect():
-            weights[r["w"]] = [math.log((r[x] + 0.5) / (n[j] + 1.0)) - math.log1p(-(r[x] + 0.5) / (n[j] + 1.0)) for j, x in enumerate(domains)]
+        of = counts.where(F.col("w") != "\x01doc").withColumn("gain", odds * F.sqrt(own)).orderBy(F.desc("gain"), "w").limit(MARKERS).where("gain > 0").drop("gain")
+        best = of if best is None else best.union(of)
+    weights = {}
+    for r in best.collect():
+        weights[r["w"]] = [math.log((r[f"n{j}"] + 0.5) / (n[j] + 1.0)) - math.log1p(-(r[f"n{j}"] + 0.5) / (n[j] + 1.0)) for j in range(len(domains))]
     absent = [sum(-math.log1p(math.exp(w[j])) for w in weights.values()) for j in range(len(domains))]
     prior = [math.log((n[j] + 0.5) / (every + 0.5 * len(domains))) + absent[j] for j in range(len(domains))]
     return {"domains": domains, "prior": prior, "weights": weights}
@@ -85,23 +97,19 @@ def memberships(docs: DataFrame, model: dict, text_col: str, columns: list[Colum
     return rows.withColumn("q", F.array(*[(edges[k + 1] - edges[k]).cast("int") for k in range(size)])).drop("_s")
 
 
-def _rate(history: list[list[float]], q: Column) -> Column:
-    """The rate after the steps so far; a step moves by a vector that is the same for all documents."""
-    if not history:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(g)) for g in step]) for step in history])
-    move = lambda g: F.aggregate(F.zip_with(g, q, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float) -> tuple[Column, list[float]]:
-    """The rate of a row as a function of ``q``, and the expected tokens of each domain under it.
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], budget: float) -> DataFrame:
+    """``q`` and ``rate`` for each posterior that occurs.
 
     Least squares over documents: half the sum over domains of (expected - target)^2 / tokens there are, which
-    keeps the problem well conditioned whatever the targets. The gradient
-    of a document's rate is its tokens times the same vector applied to its posterior; it is scaled by
-    1/tokens (a metric in which the projection stays a clip at 0), so equal posteriors share a rate and each
-    pass runs over tokens summed by posterior: a table whose rows are bounded by the grid, summed in parallel.
+    keeps the problem well conditioned whatever the targets. The gradient of a document's rate is its
+    tokens times the same vector applied to its posterior; it is scaled by 1/tokens (a metric in which the
+    projection stays a clip at 0), so equal posteriors share a rate. Tokens are therefore summed by posterior
+    over the cluster; the sums are rows of a fixed grid, and ``STEPS`` projected steps run over them in
+    one expression.
     """
     size = len(domains)
     cells = members.groupBy("q").agg(F.sum("tokens").alias("tokens"))
@@ -109,25 +117,21 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     gram = cells.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * part[i]).alias(f"t{i}") for i in range(size)], *[F.sum(F.col("tokens") * part[i] * part[j]).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size)]).first()
     total = float(gram["n"] or 0)
     if not total:
-        return F.lit(1.0), [0.0] * size
+        return cells.select("q", F.lit(1.0).alias("rate"))
     share = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     goal = np.maximum(share / (share.sum() or 1.0), 1e-6) * total * budget
     there = np.maximum([gram[f"t{i}"] for i in range(size)], 1e-6 * total)
     g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] for j in range(size)] for i in range(size)]) / np.sqrt(np.outer(there, there))
     step = 1 / max(float(np.linalg.eigvalsh(g)[-1]), 1e-12)
-    history: list[list[float]] = []
-    last, expected = math.inf, [0.0] * size
-    while True:
-        rate = _rate(history, F.col("q"))
-        row = cells.agg(*[F.sum(F.col("tokens") * rate * part[k]).alias(f"e{k}") for k in range(size)]).first()
-        expected = [row[f"e{k}"] for k in range(size)]
-        off = np.array(expected) - goal
-        error = float(np.abs(off).sum() / goal.sum())
-        if error < CLOSE or len(history) >= STEPS or abs(last - error) < CLOSE / 100:
-            return rate, expected
-        last = error
-        # rounded, so that the order of the sums does not show in the rates
-        history.append([float(f"{step * o / t / GRID:.9g}") for o, t in zip(off, there, strict=True)])
+
+    def moved(cells: Column, rates: Column) -> Column:
+        off = lambda k: (_total(F.zip_with(cells, rates, lambda c, r: c["tokens"] * r * c["q"][k] / GRID)) - F.lit(float(goal[k]))) * F.lit(step / float(there[k]) / GRID)
+        return _let(F.array(*[off(k) for k in range(size)]), lambda m: F.zip_with(cells, rates, lambda c, r: F.greatest(F.lit(0.0), r - _total(F.zip_with(m, c["q"], lambda a, b: a * b)))))
+
+    row = cells.agg(F.array_sort(F.collect_list(F.struct("q", F.col("tokens").cast("double").alias("tokens")))).alias("cells"))
+    rates = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.transform("cells", lambda c: F.lit(1.0)), lambda r, _: moved(F.col("cells"), r))
+    fitted = row.select("cells", rates.alias("rates"))
+    return fitted.select(F.explode(F.arrays_zip("cells", "rates")).alias("z")).select("z.cells.q", F.round("z.rates", 6).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,15 +143,16 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
     without any label all documents are one domain.
     """
     scratch = Scratch(docs.sparkSession)
-    model = fit_domains(docs, labels, domain, id_col, text_col)
+    model = fit_domains(docs, labels, domain, id_col, text_col, scratch)
     rows = scratch.cut(memberships(docs, model, text_col, [F.col(id_col).alias("_id")]), "members")
-    cells = scratch.cut(rows.groupBy("q").agg(F.sum("tokens").alias("tokens")).repartition(8), "cells")
+    cells = scratch.cut(rows.groupBy("q").agg(F.sum("tokens").alias("tokens")).coalesce(1), "cells")
     targets = targets if model["weights"] else {d: 1.0 for d in model["domains"]}
-    rate, _ = fit_rates(cells, model["domains"], targets, budget)
+    rates = scratch.cut(fit_rates(cells, model["domains"], targets, budget), "rates")
     scratch.drop("cells")
     dice = F.pmod(F.xxhash64("_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     names = F.array(*[F.lit(d) for d in model["domains"]])
-    return rows.withColumn("rate", F.round(rate, 6)).select(
+    # rates are bounded by the grid of posteriors
+    return rows.join(F.broadcast(rates), "q").select(
         F.col("_id").alias(id_col),
         "tokens",
         F.element_at(names, F.array_position("q", F.array_max("q")).cast("int")).alias("domain"),
