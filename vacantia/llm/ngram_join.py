@@ -10,10 +10,12 @@ the input and the result exact:
 2. Documents with equal sets become one. In each fragment every n-gram then votes for its smallest holder
    (its smallest holder in another component, if the first is in the same); votes are overlaps, so votes that
    reach the threshold prove a link. Links contract to components, and a round needs one row for each
-   document and holder, never the pairs within a group. Rounds go on while links are found, each with the
-   documents that still have enough n-grams in other components.
-3. What is left is counted pair by pair: overlaps of documents in different components, per fragment,
-   summed per pair, compared with the threshold.
+   document and holder, never the pairs within a group. Rounds go on, each with the
+   documents that still have enough n-grams in other components, while a round pays.
+3. What is left is counted pair by pair. Two documents in different components are candidates if the rarest
+   n-grams of both have one in common: as many as a partner may lack and one more, in an order by the number
+   of holders. The overlaps of the candidates are counted per fragment, summed per pair, and compared with the
+   threshold.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from vacantia.llm._util import Scratch, column, lower_ascii, mix, partitions, sl
 from vacantia.llm.components import components
 
 LOW = np.uint64((1 << 48) - 1)
+#: Votes go on while a round merges one in so many of the sets; the rest is cheaper pair by pair. Results don't depend on it.
+ROUND_PAYS = 20
 #: Pairs that a task holds at once while it counts overlaps.
 PAIRS = 1 << 21
 
@@ -163,13 +167,13 @@ def _sets_of(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _segments(sets: DataFrame, count: int) -> DataFrame:
-    """Rows (``id``, ``comp``, ``n``, ``grams``) as packed segments by fragment."""
+    """Rows (``id``, ``comp``, ``n``, ``cutoff``, ``grams``) as packed segments by fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "grams", 4 << 20):
                 own = [np.frombuffer(g, np.uint64) for g in column(piece, "grams").to_pylist()]
-                head = np.stack([column(piece, x).to_numpy(zero_copy_only=False) for x in ("id", "comp", "n")], 1)
+                head = np.stack([column(piece, x).to_numpy(zero_copy_only=False) for x in ("id", "comp", "n", "cutoff")], 1)
                 rows = []
                 for f, n, h in _split(own, count):
                     some = n > 0
@@ -178,77 +182,174 @@ def _segments(sets: DataFrame, count: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["frag", "heads", "sizes", "grams"])
 
-    return sets.mapInArrow(run, "frag int, heads binary, sizes binary, grams binary")
+    return sets.mapInArrow(run, _SEGMENT)
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Heads (id, comp, n) of the segments in a fragment, and per n-gram its hash and segment, sorted by hash."""
-    heads, sizes, grams = [], [], []
+_SEGMENT = "frag int, heads binary, sizes binary, grams binary"
+
+
+class _Fragment:
+    """The segments of one fragment: heads (id, comp, n, cutoff), and per n-gram its group and segment.
+
+    Entries are sorted by n-gram, within one by component and id. ``cross`` marks groups that hold two components;
+    ``rank`` is the class of a group's size, the order in which n-grams count as rare.
+    """
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
+        heads, sizes, grams, self.pairs = [], [], [], []
+        for batch in batches:
+            for h, n, g in zip(*(column(batch, x).to_pylist() for x in ("heads", "sizes", "grams")), strict=True):
+                if n is None:
+                    self.pairs.append(np.frombuffer(h, np.int64).reshape(-1, 3))
+                    continue
+                heads.append(np.frombuffer(h, np.int64).reshape(-1, 4))
+                sizes.append(np.frombuffer(n, np.int32))
+                grams.append(_eight(g))
+        self.head = head = np.concatenate(heads) if heads else np.zeros((0, 4), np.int64)
+        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(head)), np.concatenate(sizes)) if heads else np.zeros(0, np.int64)
+        place = np.empty(len(head), np.int64)
+        place[np.lexsort((head[:, 0], head[:, 1]))] = np.arange(len(head))
+        order = np.lexsort((place[owner], every))
+        self.owner, every = owner[order], every[order]
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        self.first, self.group = np.flatnonzero(new), np.cumsum(new) - 1
+        self.size = np.diff(np.append(self.first, len(every)))
+        comp = head[self.owner, 1]
+        self.step = np.zeros(len(every), bool)  # a second component begins here
+        self.step[1:] = ~new[1:] & (comp[1:] != comp[:-1])
+        self.cross = np.zeros(len(self.first), bool)
+        self.cross[self.group[self.step]] = True
+        self.rank = np.frompyfunc(int.bit_length, 1, 1)(self.size).astype(np.int64) if len(self.size) else self.size
+
+
+_PACKED = "block int, ids binary, others binary, sizes binary, votes binary"
+_LINK = "id long, other long, size long"
+
+
+def _packed(blocks: int, ids: np.ndarray, others: np.ndarray, sizes: np.ndarray, votes: np.ndarray) -> pa.RecordBatch:
+    """Counts of pairs as one row for each block of first ids."""
+    block = (mix(ids.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    cut = np.searchsorted(block[order], np.arange(blocks + 1))
+    rows = [(k, *(x[o].astype(np.int64).tobytes() for x in (ids, others, sizes, votes))) for k in range(blocks) if cut[k] < cut[k + 1] for o in (order[cut[k] : cut[k + 1]],)]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["block", "ids", "others", "sizes", "votes"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of one block summed per pair."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
     for batch in batches:
-        for h, n, g in zip(*(column(batch, x).to_pylist() for x in ("heads", "sizes", "grams")), strict=True):
-            heads.append(np.frombuffer(h, np.int64).reshape(-1, 3))
-            sizes.append(np.frombuffer(n, np.int32))
-            grams.append(_eight(g))
-    head = np.concatenate(heads)
-    every = np.concatenate(grams)
-    owner = np.repeat(np.arange(len(head)), np.concatenate(sizes))
-    # by hash, and within one n-gram by component and id
-    rank = np.empty(len(head), np.int64)
-    rank[np.lexsort((head[:, 0], head[:, 1]))] = np.arange(len(head))
-    order = np.lexsort((rank[owner], every))
-    return head, every[order], owner[order]
-
-
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, name in enumerate(("ids", "others", "sizes", "votes")):
+            parts[k] += [np.frombuffer(x, np.int64) for x in column(batch, name).to_pylist()]
+    ids, others, sizes, votes = (np.concatenate(p) for p in parts)
+    order = np.lexsort((others, ids))
+    ids, others, sizes, votes = ids[order], others[order], sizes[order], votes[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (others[1:] != others[:-1])
+    first = np.flatnonzero(new)
+    return ids[first], others[first], sizes[first], np.add.reduceat(votes, first)
+
+
+def _reaching(part: int, whole: int):  # noqa: ANN202
+    """Pairs whose summed overlap reaches the threshold, and (id, -1) where enough n-grams lie in other components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, others, sizes, votes = _summed(batches)
+        ok = np.where(others >= 0, (whole + part) * votes >= part * sizes, whole * votes >= part * sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (ids, others, sizes)], ["id", "other", "size"])
+
+    return _typed(run)
+
+
+def _typed(run):  # noqa: ANN001, ANN202
+    """Names the kinds of an inner function's argument and result, which choose the iterator form."""
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
+def _votes(blocks: int):  # noqa: ANN202
     """For each document: n-grams it shares with other components (``other`` -1), and how many of them have
     ``other`` as the smallest holder in another component."""
-    head, grams, owner = _unpack(batches)
-    comp = head[owner, 1]
-    new = np.ones(len(grams), bool)
-    new[1:] = grams[1:] != grams[:-1]
-    first = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    lead = owner[first]
-    # the first row of a second component within the group
-    step = np.zeros(len(grams), bool)
-    step[1:] = ~new[1:] & (comp[1:] != comp[:-1])
-    change = np.flatnonzero(step)
-    second = np.full(len(first), -1)
-    second[group[change][::-1]] = owner[change][::-1]
-    other = np.where(comp == head[lead, 1][group], second[group], lead[group])
-    some = other >= 0
-    pair, votes = np.unique(owner[some] * len(head) + other[some], return_counts=True)
-    a, b = pair // len(head), pair % len(head)
-    cross = np.bincount(owner[some], minlength=len(head))
-    any_ = np.flatnonzero(cross)
-    ids = np.concatenate((head[a, 0], head[any_, 0]))
-    others = np.concatenate((head[b, 0], np.full(len(any_), -1)))
-    sizes = np.concatenate((head[a, 2] + head[b, 2], head[any_, 2]))
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others), pa.array(sizes), pa.array(np.concatenate((votes, cross[any_])).astype(np.int64))], ["id", "other", "size", "votes"])
-
-
-def _overlaps(part: int, whole: int):  # noqa: ANN202
-    """Counts of common n-grams for pairs in different components whose sizes allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, grams, owner = _unpack(batches)
+        f = _Fragment(batches)
+        head, owner, group = f.head, f.owner, f.group
+        comp, lead = head[owner, 1], owner[f.first]
+        change = np.flatnonzero(f.step)
+        second = np.full(len(f.first), -1)
+        second[group[change][::-1]] = owner[change][::-1]
+        other = np.where(comp == head[lead, 1][group], second[group], lead[group])
+        some = other >= 0
+        pair, votes = np.unique(owner[some] * len(head) + other[some], return_counts=True)
+        a, b = pair // max(1, len(head)), pair % max(1, len(head))
+        cross = np.bincount(owner[some], minlength=len(head))
+        have = np.flatnonzero(cross)
+        ids, others = np.concatenate((head[a, 0], head[have, 0])), np.concatenate((head[b, 0], np.full(len(have), -1)))
+        yield _packed(blocks, ids, others, np.concatenate((head[a, 2] + head[b, 2], head[have, 2])), np.concatenate((votes, cross[have])))
+
+    return _typed(run)
+
+
+def _rarities(blocks: int):  # noqa: ANN202
+    """For each document and class of group size: its n-grams of that class that lie in other components too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = _Fragment(batches)
+        some = f.cross[f.group]
+        key, n = np.unique(f.owner[some] * 64 + f.rank[f.group[some]], return_counts=True)
+        yield _packed(blocks, f.head[key // 64, 0], key % 64, f.head[key // 64, 2], n)
+
+    return _typed(run)
+
+
+def _cutoffs(part: int, whole: int):  # noqa: ANN202
+    """``other``: the class up to which a document's rarest n-grams must hold one of any partner; documents with too
+    few n-grams in other components drop out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rank, sizes, n = _summed(batches)
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        total = np.add.reduceat(n, first)
+        need = total + (-part * sizes[first]) // whole + 1  # all but those that a partner may lack, and one
+        upto = np.cumsum(n)
+        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
+        before = upto[first] - n[first]
+        reached = (upto - before[own] >= need[own]) & (need[own] > 0)
+        at = np.full(len(first), -1)
+        hit = np.flatnonzero(reached)[::-1]
+        at[own[hit]] = rank[hit]
+        ok = at >= 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (ids[first], at, sizes[first])], ["id", "other", "size"])
+
+    return _typed(run)
+
+
+def _candidates(blocks: int, part: int, whole: int):  # noqa: ANN202
+    """Pairs in different components with sizes that allow a link and a common n-gram among both's rarest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = _Fragment(batches)
+        head = f.head
+        keep = f.cross[f.group] & (f.rank[f.group] <= head[f.owner, 3])
+        owner, group = f.owner[keep], f.group[keep]
         comp, size = head[owner, 1], head[owner, 2]
-        new = np.ones(len(grams), bool)
-        new[1:] = grams[1:] != grams[:-1]
-        ends = np.append(np.flatnonzero(new)[1:], len(grams))[np.cumsum(new) - 1]
+        ends = np.searchsorted(group, group, "right")
+        rest = ends - np.arange(len(group)) - 1  # partners that follow in the group
+        total = np.cumsum(rest)
         left: list[np.ndarray] = []
-        held = 0
+        held, at = 0, 0
 
         def flush() -> pa.RecordBatch:
-            pair, n = np.unique(np.concatenate(left), return_counts=True)
+            pair = np.unique(np.concatenate(left))
             left.clear()
             a, b = pair // len(head), pair % len(head)
-            return pa.RecordBatch.from_arrays([pa.array(head[a, 0]), pa.array(head[b, 0]), pa.array(head[a, 2] + head[b, 2]), pa.array(n.astype(np.int64))], ["id", "other", "size", "votes"])
+            return _packed(blocks, head[a, 0], head[b, 0], head[a, 2] + head[b, 2], np.ones(len(a), np.int64))
 
-        rest = ends - np.arange(len(grams)) - 1  # partners that follow in the group
-        at = 0
-        while at < len(grams):
-            stop = max(at + 1, int(np.searchsorted(np.cumsum(rest[at:]), PAIRS, "right")) + at)
+        while at < len(group):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
             n = rest[at:stop]
             a = np.repeat(np.arange(at, stop), n)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
@@ -257,8 +358,8 @@ def _overlaps(part: int, whole: int):  # noqa: ANN202
             swap = head[x, 0] > head[y, 0]
             x, y = np.where(swap, y, x), np.where(swap, x, y)
             if len(x):
-                left.append(x * len(head) + y)
-                held += len(x)
+                left.append(np.unique(x * len(head) + y))
+                held += len(left[-1])
             if held > PAIRS:
                 yield flush()
                 held = 0
@@ -266,11 +367,61 @@ def _overlaps(part: int, whole: int):  # noqa: ANN202
         if left:
             yield flush()
 
-    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return run
+    return _typed(run)
+
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, others, sizes, _ = _summed(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, others, sizes)], ["id", "other", "size"])
 
-_PAIR = "id long, other long, size long, votes long"
+
+def _to_fragments(pairs: DataFrame, count: int) -> DataFrame:
+    """Candidate pairs packed once for each fragment; they have no ``sizes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = np.stack([column(batch, x).to_numpy(zero_copy_only=False) for x in ("id", "other", "size")], 1).tobytes()
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(count, dtype=np.int32)), pa.array([body] * count, pa.binary()), pa.nulls(count, pa.binary()), pa.nulls(count, pa.binary())], ["frag", "heads", "sizes", "grams"])
+
+    return pairs.mapInArrow(run, _SEGMENT)
+
+
+def _overlaps(blocks: int):  # noqa: ANN202
+    """Common n-grams of the candidate pairs in one fragment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = _Fragment(batches)
+        if not f.pairs or not len(f.head):
+            return
+        order = np.argsort(f.head[:, 0])
+        known = f.head[order, 0]
+        groups = max(1, len(f.first))
+        held = np.sort(f.owner * groups + f.group)  # (segment, n-gram) entries
+        begin = np.searchsorted(held, np.arange(len(f.head) + 1) * groups)
+        for pairs in f.pairs:
+            at = [np.minimum(np.searchsorted(known, pairs[:, k]), len(known) - 1) for k in (0, 1)]
+            there = (known[at[0]] == pairs[:, 0]) & (known[at[1]] == pairs[:, 1])
+            a, b, some = order[at[0][there]], order[at[1][there]], pairs[there]
+            swap = begin[a + 1] - begin[a] > begin[b + 1] - begin[b]  # look the smaller segment's n-grams up
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            n = begin[a + 1] - begin[a]
+            total, start = np.cumsum(n), 0
+            while start < len(a):
+                stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")))
+                m = n[start:stop]
+                which = np.repeat(np.arange(start, stop), m)
+                entry = np.repeat(begin[a[start:stop]] - (np.cumsum(m) - m), m) + np.arange(len(which))
+                want = b[which] * groups + held[entry] % groups
+                spot = np.minimum(np.searchsorted(held, want), len(held) - 1)
+                votes = np.bincount(which[held[spot] == want] - start, minlength=stop - start)
+                hit = votes > 0
+                part = some[start:stop][hit]
+                if len(part):
+                    yield _packed(blocks, part[:, 0], part[:, 1], part[:, 2], votes[hit])
+                start = stop
+
+    return _typed(run)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, part: int = 3, whole: int = 4) -> DataFrame:
@@ -278,8 +429,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two texts link when their sets of ``words``-word n-grams (A-Z lowered; a shorter text is one n-gram) have
     ``whole`` * intersection >= ``part`` * union. Null and empty texts have no n-gram and link with nothing;
-    rows with a null id have a null component and link with nothing; rows that share an id are one document for
-    links if their texts link. Ids must be whole numbers. Exact up to collisions of 64-bit hashes (in fragments
+    rows with a null id have a null component and link with nothing; of different texts that share an
+    id one (by its key) is compared. Ids must be whole numbers. Exact up to collisions of 64-bit hashes (in fragments
     48 bits and the fragment). Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -289,19 +440,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null = -(1 << 63)
     sizes = scratch.cut(_sizes_and_shared(base.withColumn("id", F.coalesce("id", F.lit(null))), words, part, whole), "sizes")
     live = sizes.where(f"live and id <> {null}").select("id").distinct()
-    sets = scratch.cut(_sets_of(base.join(live, "id", "left_semi"), words).where("n > 0"), "sets")
+    # sort-merge at every size: what is joined here grows with the input
+    sets = scratch.cut(_sets_of(base.join(live.hint("merge"), "id", "left_semi"), words).where("n > 0"), "sets")
     classes = scratch.cut(sets.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
     member = scratch.cut(sets.select("id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("id", "rep").distinct(), "member")
-    reps = sets.join(classes, ["k1", "k2", "n"]).where("id = rep").select("id", "n", "grams").dropDuplicates(["id"])
-    reps = scratch.cut(reps, "reps")
+    chosen = sets.join(classes.select("k1", "k2", "n", F.col("rep").alias("id")).hint("merge"), ["id", "k1", "k2", "n"], "left_semi")
+    reps = scratch.cut(chosen.groupBy("id").agg(F.min_by(F.struct("n", "grams"), F.struct("k1", "k2")).alias("s")).select("id", "s.n", "s.grams"), "reps")
     scratch.drop("sets", "classes")
     roots = scratch.cut(reps.select("id", F.col("id").alias("comp")), "roots0")
     count = max(1, partitions(spark) // 4)
     at = 0
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Pairs whose summed overlaps reach the threshold: whole * i >= part * (size - i)."""
-        return pairs.groupBy("id", "other").agg(F.max("size").alias("size"), F.sum("votes").alias("votes")).where(f"other >= 0 and {whole + part} * votes >= {part} * size")
+    def by_block(rows: DataFrame, of, then) -> DataFrame:  # noqa: ANN001
+        """Counts of the fragments, summed by blocks of ids."""
+        return rows.groupBy("frag").applyInArrow(of, _PACKED).groupBy("block").applyInArrow(then, _LINK)
 
     def contract(links: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
         """Roots after ``links``, and how many components met."""
@@ -315,20 +467,26 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         stars = stars.select(F.col("node").alias("comp"), "root")
         return scratch.cut(roots.join(stars, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), f"roots{at + 1}"), n
 
-    alive = reps
+    def placed(ids: DataFrame) -> DataFrame:
+        """Sets of some ids with their components, as segments."""
+        return _segments(reps.join(ids.hint("merge"), "id").select("id", "comp", "n", "cutoff", "grams"), count)
+
+    none = F.lit(-1).cast("long").alias("cutoff")
+    alive, whole_set = roots, reps.count()
     while True:
-        rows = _segments(alive.join(roots, "id").select("id", "comp", "n", "grams"), count)
-        pairs = scratch.cut(rows.groupBy("frag").applyInArrow(_votes, _PAIR), f"votes{at}")
-        enough = pairs.where("other < 0").groupBy("id").agg(F.max("size").alias("n"), F.sum("votes").alias("c")).where(f"{whole} * c >= {part} * n").select("id")
-        was = alive
-        alive = scratch.cut(was.join(enough, "id", "left_semi"), f"alive{at}")
-        roots, met = contract(linked(pairs), roots)
-        scratch.drop(f"votes{at}", *([f"alive{at - 1}"] if at else []))
+        found = scratch.cut(by_block(placed(alive.select("id", "comp", none)), _votes(count), _reaching(part, whole)), f"votes{at}")
+        roots, met = contract(found.where("other >= 0"), roots)
+        alive = roots.join(found.where("other < 0").select("id"), "id", "left_semi")
         at += 1
-        if not met:
+        if met * ROUND_PAYS < whole_set:
             break
-    rows = _segments(alive.join(roots, "id").select("id", "comp", "n", "grams"), count)
-    roots, _ = contract(linked(rows.groupBy("frag").applyInArrow(_overlaps(part, whole), _PAIR)), roots)
+    alive = scratch.cut(alive.select("id", "comp", none), "alive")
+    rare = scratch.cut(by_block(placed(alive), _rarities(count), _cutoffs(part, whole)), "rare")
+    marked = alive.drop("cutoff").join(rare.select("id", F.col("other").alias("cutoff")), "id", "left").na.fill(-1, ["cutoff"])
+    pairs = scratch.cut(by_block(placed(marked), _candidates(count, part, whole), _typed(_distinct)), "pairs")
+    ends = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
+    rows = placed(alive.join(ends, "id", "left_semi")).unionByName(_to_fragments(pairs, count))
+    roots, _ = contract(by_block(rows, _overlaps(count), _reaching(part, whole)).where("other >= 0"), roots)
     # a component's id is the smallest document among its members
     whole_comp = member.join(roots.select(F.col("id").alias("rep"), "comp"), "rep")
     least = whole_comp.groupBy("comp").agg(F.min("id").alias("least"))
