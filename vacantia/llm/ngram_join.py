@@ -327,8 +327,11 @@ def _cutoffs(part: int, whole: int):  # noqa: ANN202
     return _typed(run)
 
 
-def _candidates(blocks: int, part: int, whole: int):  # noqa: ANN202
-    """Pairs in different components with sizes that allow a link and a common n-gram among both's rarest."""
+def _candidates(blocks: int, part: int, whole: int, star: bool):  # noqa: ANN202
+    """Pairs in different components with sizes that allow a link and a common n-gram among both's rarest.
+
+    With ``star`` only pairs of an n-gram's smallest holder with its others: a row for each holder.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = _Fragment(batches)
@@ -336,8 +339,10 @@ def _candidates(blocks: int, part: int, whole: int):  # noqa: ANN202
         keep = f.cross[f.group] & (f.rank[f.group] <= head[f.owner, 3])
         owner, group = f.owner[keep], f.group[keep]
         comp, size = head[owner, 1], head[owner, 2]
-        ends = np.searchsorted(group, group, "right")
-        rest = ends - np.arange(len(group)) - 1  # partners that follow in the group
+        place = np.arange(len(group))
+        rest = np.searchsorted(group, group, "right") - place - 1  # partners that follow in the group
+        if star:
+            rest[np.searchsorted(group, group, "left") != place] = 0
         total = np.cumsum(rest)
         left: list[np.ndarray] = []
         held, at = 0, 0
@@ -480,13 +485,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         at += 1
         if met * ROUND_PAYS < whole_set:
             break
-    alive = scratch.cut(alive.select("id", "comp", none), "alive")
-    rare = scratch.cut(by_block(placed(alive), _rarities(count), _cutoffs(part, whole)), "rare")
-    marked = alive.drop("cutoff").join(rare.select("id", F.col("other").alias("cutoff")), "id", "left").na.fill(-1, ["cutoff"])
-    pairs = scratch.cut(by_block(placed(marked), _candidates(count, part, whole), _typed(_distinct)), "pairs")
-    ends = pairs.select(F.explode(F.array("id", "other")).alias("id")).distinct()
-    rows = placed(alive.join(ends, "id", "left_semi")).unionByName(_to_fragments(pairs, count))
-    roots, _ = contract(by_block(rows, _overlaps(count), _reaching(part, whole)).where("other >= 0"), roots)
+    ids = scratch.cut(alive.select("id"), "alive")
+    for star in (True, False):  # stars first, so that a large group is one component before pairs are made
+        alive = scratch.cut(roots.join(ids, "id", "left_semi").select("id", "comp", none), f"alive{star}")
+        rare = scratch.cut(by_block(placed(alive), _rarities(count), _cutoffs(part, whole)), f"rare{star}")
+        marked = alive.drop("cutoff").join(rare.select("id", F.col("other").alias("cutoff")), "id", "left").na.fill(-1, ["cutoff"])
+        pairs = scratch.cut(by_block(placed(marked), _candidates(count, part, whole, star), _typed(_distinct)), f"pairs{star}")
+        ends = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
+        rows = placed(alive.join(ends, "id", "left_semi")).unionByName(_to_fragments(pairs, count))
+        roots, _ = contract(by_block(rows, _overlaps(count), _reaching(part, whole)).where("other >= 0"), roots)
+        at += 1
     # a component's id is the smallest document among its members
     whole_comp = member.join(roots.select(F.col("id").alias("rep"), "comp"), "rep")
     least = whole_comp.groupBy("comp").agg(F.min("id").alias("least"))
