@@ -14,21 +14,13 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """Classes of two or more equal texts: ``_h`` (128-bit hash), ``_s`` (SHA-256), ``keep_id``, ``group_size``.
 
-    Only 16-byte hashes are grouped over the whole table. The texts of hashes that occur more than once
-    are then grouped by their bytes, so two texts whose hashes collide fall into two classes. Map-side
-    aggregation sends one row per task of a hot class. A null text counts as empty; null ids never stay
-    while the class has another id.
+    Rows are grouped by hash and bytes, so two texts whose hashes collide fall into two classes. Map-side
+    aggregation sends one row per task and text, however many copies there are, so no class is hot. A null
+    text counts as empty; null ids never stay while the class has another id.
     """
     pick = {"min": F.min, "max": F.max}[keep]
-    base = _hashed(docs, id_col, text_col)
-    again = base.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h")
-    return (
-        base.join(again, "_h", "left_semi")
-        .groupBy("_h", "_t")
-        .agg(pick("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-        .select("_h", F.sha2("_t", 256).alias("_s"), "keep_id", "group_size")
-    )
+    classes = _hashed(docs, id_col, text_col).groupBy("_h", "_t").agg(pick("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return classes.where("group_size > 1").select("_h", F.sha2("_t", 256).alias("_s"), "keep_id", "group_size")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, keep: str, columns: list[Column]) -> DataFrame:
