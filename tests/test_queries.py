@@ -49,6 +49,24 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
+def equals_sql(spark, duck, name):
+    df = registry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    found = duck.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in found.description]
+    assert sorted(names) == columns
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str)
+    assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
+    return got
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_every_job_has_a_prompt(spark, duck):
+    got = equals_sql(spark, duck, "prompts_whole")
+    assert len(got) == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert not any(p.endswith("...") for _, p in got)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

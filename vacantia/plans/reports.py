@@ -25,10 +25,21 @@ def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
+def job_prompts(jobs: DataFrame, most: int | None = None) -> DataFrame:
+    """``job_id``, ``prompt`` for every job; texts are whole unless ``most`` limits them."""
+    text = F.col("company") if most is None else shortened(F.col("company"), most)
+    return jobs.select("job_id", prompt("Title: {title}\nText: {text}", title=F.col("title"), text=text).alias("prompt"))
+
+
 @register("""SELECT job_id, 'Title: ' || title || chr(10) || 'Text: ' || CASE WHEN length(company) > 12 THEN substr(company, 1, 12) || '...' ELSE company END AS prompt FROM raw_jobs WHERE job_id < 500""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
-    jobs = S.raw_jobs(spark, d).where("job_id < 500")
-    return jobs.select("job_id", prompt("Title: {title}\nText: {text}", title=F.col("title"), text=shortened(F.col("company"), 12)).alias("prompt"))
+    """A preview: ids under 500 and short texts, as its SQL states; ``prompts_whole`` has every job."""
+    return job_prompts(S.raw_jobs(spark, d).where("job_id < 500"), 12)
+
+
+@register("SELECT job_id, 'Title: ' || title || chr(10) || 'Text: ' || company AS prompt FROM raw_jobs")
+def prompts_whole(spark: SparkSession, d: str) -> DataFrame:
+    return job_prompts(S.raw_jobs(spark, d))
 
 
 @register("""WITH w AS (SELECT skill_id, string_split(lower(label), ' ') AS w FROM esco_skills), g AS (SELECT DISTINCT skill_id, unnest(list_concat(w, [array_to_string(w, ' ')])) AS ngram FROM w),
