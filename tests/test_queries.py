@@ -67,6 +67,14 @@ def test_every_job_has_a_prompt(spark, duck):
     assert not any(p.endswith("...") for _, p in got)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_dual_comparison_covers_all_gold(spark, duck):
+    equals_sql(spark, duck, "dual_pipeline_whole")
+    by = {(r.skill_type, r.view): r for r in registry.queries()["dual_pipeline_whole"](spark, SF).collect()}
+    want = duck.execute("SELECT count(DISTINCT p_name) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0 AND l_linenumber <= 4").fetchone()[0]
+    assert by["all", "text"].tp + by["all", "text"].fn == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

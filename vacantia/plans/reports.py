@@ -101,24 +101,37 @@ def dual_comparison(gold: DataFrame, predicted: DataFrame, mapping: DataFrame) -
     return out
 
 
-def _dual_sql() -> str:
+def _dual_sql(gold: str, found: str) -> str:
+    """``gold`` and ``found``: conditions on the gold rows and on the predictions."""
     parts = []
     for kind, where in (("hard", "WHERE skill_type = 'hard'"), ("soft", "WHERE skill_type = 'soft'"), ("all", "")):
         for view, skill in (("text", "skill"), ("taxonomy", "uri")):
             src = lambda t, s=skill, w=where: f"SELECT DISTINCT {s} AS x FROM {t} {'JOIN m USING (skill)' if s == 'uri' else ''} {w} {('AND' if w else 'WHERE') + ' uri IS NOT NULL' if s == 'uri' else ''}"
             parts.append(f"SELECT '{kind}' AS skill_type, '{view}' AS view, count(*) FILTER (a.x IS NOT NULL AND b.x IS NOT NULL) AS tp, count(*) FILTER (a.x IS NULL) AS fp, count(*) FILTER (b.x IS NULL) AS fn FROM ({src('g')}) a FULL JOIN ({src('p')}) b ON a.x = b.x")
     body = " UNION ALL ".join(parts)
-    return f"""WITH g AS (SELECT job_id, skill_text AS skill, skill_type FROM gold WHERE job_id % 200 = 0), p AS (SELECT job_id, skill_text AS skill, skill_type FROM extracted_skills WHERE extraction_method = 'regex' AND job_id % 200 = 0),
+    return f"""WITH g AS (SELECT job_id, skill_text AS skill, skill_type FROM gold{gold}), p AS (SELECT job_id, skill_text AS skill, skill_type FROM extracted_skills WHERE extraction_method = 'regex' AND {found}),
 m AS (SELECT label AS skill, CASE WHEN skill_id % 4 <> 0 THEN skill_group END AS uri FROM esco_skills)
 SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp)::DOUBLE, 6) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn)::DOUBLE, 6) ELSE 0 END AS recall, CASE WHEN tp > 0 THEN round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) ELSE 0 END AS f1 FROM ({body})"""
 
 
-@register(_dual_sql())
-def dual_pipeline_comparison(spark: SparkSession, d: str) -> DataFrame:
-    gold = S.gold(spark, d).where("job_id % 200 = 0").select("job_id", F.col("skill_text").alias("skill"), "skill_type")
-    found = S.extracted_skills(spark, d).where("extraction_method = 'regex' and job_id % 200 = 0").select("job_id", F.col("skill_text").alias("skill"), "skill_type")
+def dual_of(spark: SparkSession, d: str, gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    named = [df.select("job_id", F.col("skill_text").alias("skill"), "skill_type") for df in (gold, predicted.where("extraction_method = 'regex'"))]
     mapping = S.esco_skills(spark, d).select(F.col("label").alias("skill"), F.when(F.col("skill_id") % 4 != 0, F.col("skill_group")).alias("uri"))
-    return dual_comparison(gold, found, mapping)
+    return dual_comparison(*named, mapping)
+
+
+@register(_dual_sql(" WHERE job_id % 200 = 0", "job_id % 200 = 0"))
+def dual_pipeline_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """One in 20 of the annotated jobs, as its SQL states; ``dual_pipeline_whole`` has all of them."""
+    sample = "job_id % 200 = 0"
+    return dual_of(spark, d, S.gold(spark, d).where(sample), S.extracted_skills(spark, d).where(sample))
+
+
+@register(_dual_sql("", "job_id IN (SELECT job_id FROM gold)"))
+def dual_pipeline_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All annotated jobs; predictions count where a job is annotated."""
+    gold = S.gold(spark, d)
+    return dual_of(spark, d, gold, S.extracted_skills(spark, d).join(gold.select("job_id").distinct(), "job_id", "left_semi"))
 
 
 @register("""WITH r AS (SELECT llm_model AS model, CAST(tokens_used // 10 AS INT) AS setting, avg(llm_confidence) AS quality, avg(processing_time_seconds) AS seconds, count(*) AS n FROM enhanced_skills GROUP BY ALL)
