@@ -98,6 +98,29 @@ def test_layers(spark):
     assert plain["REST"] == "none"
 
 
+@pytest.mark.parametrize("least, short", [(0.92, 0.95), (0.86, 0.92)])
+def test_fuzzy_is_exact(spark, least, short):
+    from vacantia.functions.fuzzy import partial_ratio, ratio
+
+    rnd = random.Random(3)
+    words = [w for w in {"".join(rnd.choice("ab ") for _ in range(rnd.randint(1, 16))) for _ in range(120)} if w.strip()]
+    skills = [*words[:50], "kubernets", "developer", "excel", "react", "reat", "REACT", "İstanbul"]
+    labels = [*words[50:], "Kubernetes", "developers", "ms-excel", "React.js", "exce", "istanbul"]
+
+    def score(s, t):
+        a, b = s.lower(), t.lower()
+        return max(ratio(a, b), partial_ratio(a, b)) if 5 <= len(s) <= 6 and len(t) > len(s) else ratio(a, b)
+
+    want = {}
+    for s in skills:
+        over = [score(s, t) for t in labels if score(s, t) >= (short if len(s) <= 4 else least)]
+        if over:
+            want[s] = round(max(over), 3)
+    got = match.fuzzy(spark.createDataFrame([(s,) for s in skills], "skill string"), spark.createDataFrame([(f"u{i}", t) for i, t in enumerate(labels)], "skill_uri string, label string"), least, short)
+    assert {r.skill: r.confidence for r in got.collect()} == want
+    assert {"kubernets", "developer", "excel"} <= set(want)
+
+
 def test_knn_and_silhouette(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 6))

@@ -41,17 +41,44 @@ def manual(skills: DataFrame, taxonomy: DataFrame, mapping: DataFrame) -> DataFr
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("skill", "skill_uri", "label", "confidence", F.lit("manual_dict").alias("method"))
 
 
-def _token_pairs(skills: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """Skill and label pairs that share a token of two characters or more, each pair once."""
-    tokens = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda t: F.length(t) >= 2))
-    left = skills.select("skill", F.explode(tokens(F.lower(F.trim("skill")))).alias("token"))
-    right = _labels(taxonomy).withColumn("token", F.explode(tokens(F.col("key"))))
-    return left.join(right, "token").select("skill", "skill_uri", "label").distinct()
+def _parts(n: str, p: str) -> str:
+    """SQL for the ``p`` parts that a text ``s`` of ``n`` characters is cut into, in order."""
+    return f"transform(sequence(0, {p} - 1), i -> substring(s, cast({n} * i div {p} as int) + 1, cast({n} * (i + 1) div {p} - {n} * i div {p} as int)))"
+
+
+def _pieces(sizes: str) -> str:
+    """SQL for the distinct substrings of a text ``t`` that have one of these sizes."""
+    return f"array_distinct(flatten(transform({sizes}, q -> if(q > length(t), cast(array() as array<string>), transform(sequence(1, greatest(length(t) - q + 1, 1)), i -> substring(t, i, q))))))"
+
+
+def _alike(skills: DataFrame, taxonomy: DataFrame, least: float) -> DataFrame:
+    """Skill and label pairs, each once, among them all that the matcher scores ``least`` or more.
+
+    A ratio of ``least`` leaves (1 - least) of both lengths for insertions and deletions, k together. Of k + 1
+    parts of the skill one then stays whole, so parts and the label's length join both sides. Skills of 5 and 6
+    characters may also match a window no longer than themselves; their parts join labels of any length.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("a threshold is over 0 and at most 1")
+    wide, gap = (2 - least) / least, 1 - least
+    slack = lambda both: f"cast(floor({gap!r}D * ({both}) + 1e-6D) as int)"
+    lengths = lambda x: f"sequence(greatest(cast(ceil({x} / {wide!r}D - 1e-6D) as int), 1), cast(floor({x} * {wide!r}D + 1e-6D) as int))"
+    mids = {q for n in range(5, 13) for p in (int(gap * 2 * n + 1e-6) + 1,) for q in (n // p, -(-n // p))}  # in lower case a character may become two
+    sizes = f"array_distinct(flatten(transform({lengths('m')}, n -> array(cast(n div ({slack('n + m')} + 1) as int), cast((n + {slack('n + m')}) div ({slack('n + m')} + 1) as int)))))"
+
+    whole = f"flatten(transform({lengths('n')}, m -> transform({_parts('n', '(' + slack('n + m') + ' + 1)')}, x -> named_struct('m', m, 'k', {slack('n + m')}, 'part', x))))"
+    window = f"if(length(skill) between 5 and 6, transform({_parts('n', '(' + slack('2 * n') + ' + 1)')}, x -> named_struct('m', 0, 'k', {2**30}, 'part', x)), array())"
+    left = skills.select("skill", F.lower("skill").alias("s")).distinct().withColumn("n", F.length("s")).where("n > 0")
+    left = left.select("skill", "s", F.explode(F.array_distinct(F.expr(f"concat({whole}, {window})"))).alias("x")).select("skill", "s", "x.*")
+    pieces = f"concat(transform({_pieces(sizes)}, x -> named_struct('m', m, 'part', x)), transform({_pieces('array(' + ', '.join(map(str, sorted(mids))) + ')')}, x -> named_struct('m', 0, 'part', x)))"
+    right = _labels(taxonomy).select("skill_uri", "label", F.lower("label").alias("t")).withColumn("m", F.length("t"))
+    right = right.select("skill_uri", "label", "t", F.explode(F.expr(pieces)).alias("x")).select("skill_uri", "label", "t", "x.*")
+    return left.join(right, ["m", "part"]).where(F.levenshtein("s", "t") <= F.col("k")).select("skill", "skill_uri", "label").distinct()
 
 
 def fuzzy(skills: DataFrame, taxonomy: DataFrame, threshold: float = FUZZY, short: float = FUZZY_SHORT) -> DataFrame:
-    """Best label that shares a token and scores over the threshold (a stricter one up to four characters)."""
-    scored = _token_pairs(skills, taxonomy).withColumn("confidence", matcher_score("skill", "label"))
+    """Best of all labels that score over the threshold (a stricter one up to four characters)."""
+    scored = _alike(skills, taxonomy, min(threshold, short)).withColumn("confidence", matcher_score("skill", "label"))
     scored = scored.withColumn("starts", F.startswith(F.lower("label"), F.lower("skill")).cast("int"))
     return _best(scored.where(F.col("confidence") >= F.when(F.length("skill") <= 4, short).otherwise(threshold)), "fuzzy")
 
