@@ -3,12 +3,13 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vacantia.operators import clustering, dedup, evaluate, extract, match, selection, tfidf, vectors
+from vacantia.operators import clustering, dedup, evaluate, extract, match, selection, skill_table, tfidf, vectors
 from vacantia.operators.aggregates import cooccurring
 
 
@@ -55,6 +56,29 @@ def test_regex_edges(spark):
     assert not {"c++", "c#"} & strict
 
 
+def test_regex_whole_table(spark):
+    assert (len(skill_table.PATTERNS), len(skill_table.ALIAS_TABLES)) == (18, 12)
+    text = "Pandas and GraphQL; experiencia en Kotlin, VB.NET. Java 17\n\u00b7 Maven \u00b7 end to end \u00b7 Spring Boot\nTools: Zig, rest api"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {r.skill_text: r for r in extract.regex_skills(df, aliases=skill_table.ALIASES).collect()}
+    assert {"Pandas", "GraphQL", "Kotlin", "Java", "java 17", "Maven", "spring boot", "zig", "REST API"} <= set(got)
+    assert got["zig"].skill_type == "bullet_point_skills" and text[got["zig"].start : got["zig"].end] == "Zig"
+    assert not any("end" in name.split() for name in got)
+    bare = {"contextualized_spanish": extract.PATTERNS["contextualized_spanish"]}
+    (row,) = extract.regex_skills(df, bare, skill_table.ALIASES).collect()
+    assert (row.skill_text, text[row.start : row.end]) == ("Kotlin", "Kotlin")
+
+
+def test_regex_prefilter_drops_nothing():
+    table = extract._table(tuple(extract.PATTERNS.items()), False)
+    rnd = random.Random(5)
+    words = [*"Experiencia en Java 17+ C++ C# Node.js vuejs SQL Server Spring Boot IBM DB2 bases de datos APIs CI/CD Dataflows Gen2 Kubernetes \u212aotlin REACT GESTI\u00d3N dise\u00f1o - \u00b7 :".split(), "\n", *(re.sub(r"\\s\+", " ", p).replace("\\", "") for k, ps in skill_table.PATTERNS.items() if k not in extract.CAPTURED for p in ps)]
+    for _ in range(150):
+        text = " ".join(rnd.choice((str, str.upper, str.lower))(rnd.choice(words)) for _ in range(25))
+        whole = [(k, p, frozenset(), ()) for k, p, *_ in table]
+        assert list(extract._found(text, table, extract.ALIASES)) == list(extract._found(text, whole, extract.ALIASES))
+
+
 def test_tfidf_against_python(spark):
     docs = ["a b a c", "a c", "b d d", "c d"]
     tf = tfidf.terms(spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string"), most=1)

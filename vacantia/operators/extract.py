@@ -4,62 +4,95 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as T
+from vacantia.operators import skill_table
 
-#: A small set of skill patterns by category; callers pass their own table for more.
-PATTERNS = {
-    "programming_languages": ("Python", "JavaScript", "TypeScript", "Java", r"C\+\+", "C#", "Go", "Rust", "PHP", "Ruby", "Kotlin", "Swift", "Scala", "R"),
-    "frameworks_libraries": (r"Spring\s+Boot", r"Ruby on Rails", r"Node\.?js", r"React\.?js", "React", "Angular", "Django", "Flask", "Spring", "Laravel", r"\.NET"),
-    "databases": ("PostgreSQL", "MySQL", "MongoDB", "Redis", r"SQL\s+Server", "Oracle", "SQL"),
-    "cloud_devops": ("AWS", "Azure", "Docker", "Kubernetes", "Terraform", "Jenkins", "CI/CD", "Git"),
-}
-#: Alias and canonical name; others stay in lower case. Later entries win.
-ALIASES = {
-    "js": "javascript",
-    "node": "node.js",
-    "nodejs": "node.js",
-    "react.js": "react",
-    "reactjs": "react",
-    "postgres": "postgresql",
-    "k8s": "kubernetes",
-    "golang": "go",
-    "mongo": "mongodb",
-    "ts": "typescript",
-}
+#: The source system's 18 categories, and names of this package that they lack.
+PATTERNS = skill_table.PATTERNS | {"plain_names": (r"\.NET", r"SQL\s+Server", "SQL")}
+#: All its aliases with canonical names in lower case; ``skill_table.ALIASES`` has them as written there.
+ALIASES = {"node": "node.js", "nodejs": "node.js"} | {alias: name.lower() for alias, name in skill_table.ALIASES.items()}
+#: Categories whose first group is the skill, and those that bring their own edges.
+CAPTURED, OWN_EDGES = ("contextualized_spanish", "bullet_point_skills"), ("bullet_point_skills",)
+#: Letters that match others of the alphabet when case is ignored, though their lower case differs.
+FOLDED = re.compile("[\u0130\u0131\u017f\u212a\u212b]")
 
 
 def compile_patterns(patterns: dict[str, tuple[str, ...]], strict_edges: bool = False) -> list[tuple[str, re.Pattern]]:
     """Whole-word patterns. With ``strict_edges`` both ends are ``\\b``, as the source system has them, so that names
     that end in a symbol only match before a letter; otherwise no word character may touch the match."""
     edge = (r"\b", r"\b") if strict_edges else (r"(?<!\w)", r"(?!\w)")
-    return [(kind, re.compile(f"{edge[0]}(?:{p}){edge[1]}", re.I)) for kind, ps in patterns.items() for p in ps]
+    return [(kind, re.compile(p if kind in OWN_EDGES else f"{edge[0]}(?:{p}){edge[1]}", re.I)) for kind, ps in patterns.items() for p in ps]
+
+
+def _lead(p: str) -> str:
+    """The literal, in lower case, that every match of ``p`` starts with; empty if that isn't plain to see."""
+    out, at, step = "", 0, re.compile(r"\\(\W)|([\w #/-])")
+    while m := step.match(p, at):
+        out, at = out + (m[1] or m[2]), m.end()
+    return (out[:-1] if p[at : at + 1] in ("?", "*", "{") else out).lower()
+
+
+def _needs(kind: str, p: str) -> tuple[frozenset, tuple[str, ...]]:
+    """Words that a text must all have, and literals of which it must hold one, for ``p`` to match; empty if unknown."""
+    none = frozenset(), ()
+    if kind in OWN_EDGES or any(ord(c) > 255 or c == "\u00b5" for c in p):
+        return none
+    if re.fullmatch(r"\w+(?:(?: |\\s\+|-|\\\.|\\/)\w+)*", p):
+        return frozenset(re.split(r"\\s\+|\\.|[ -]", p.lower())), ()
+    group = re.match(r"\((?:\?:)?([^()?\\]+)\)(?![?*{])", p)
+    rest = re.sub(r"\([^()]*\)", "", p[group.end() :] if group else p)
+    if "|" in rest or "(" in rest:
+        return none
+    leads = tuple(_lead(x) for x in (group[1].split("|") if group else (p,)))
+    return (frozenset(), leads) if all(leads) else none
+
+
+@lru_cache(8)
+def _table(patterns: tuple, strict_edges: bool) -> list[tuple]:
+    sources = [(kind, p) for kind, ps in patterns for p in ps]
+    return [(kind, compiled, *_needs(kind, p)) for (kind, p), (_, compiled) in zip(sources, compile_patterns(dict(patterns), strict_edges), strict=True)]
+
+
+def _found(text: str, table: list[tuple], aliases: dict[str, str]) -> Iterator[tuple]:
+    """Name, category, start and end of each skill of a text."""
+    low, plain, seen = text.lower(), not FOLDED.search(text), set()
+    words = set(re.findall(r"\w+", low))
+    norm = lambda name: aliases.get(name.lower().strip(), name.lower().strip())
+    for category, pattern, needed, any_of in table:
+        if plain and (not needed <= words or (any_of and not any(x in low for x in any_of))):
+            continue
+        for m in pattern.finditer(text):
+            group = 1 if category in CAPTURED and m.lastindex else 0
+            if category == "bullet_point_skills" and not skill_table.BULLET_STOPWORDS.isdisjoint(m[group].lower().split()):
+                continue
+            name = norm(m[group])
+            if (key := norm(name)) not in seen:
+                seen.add(key)
+                yield name, category, *m.span(group)
 
 
 def regex_skills(docs: DataFrame, patterns: dict[str, tuple[str, ...]] = PATTERNS, aliases: dict[str, str] = ALIASES, id_col: str = "doc_id", text_col: str = "text", strict_edges: bool = False) -> DataFrame:
     """``doc_id``, ``skill_text``, ``skill_type``, ``start``, ``end``, ``context``, ``confidence``; one row per alias and document.
 
-    The first match of a name stays, in the order of the pattern table. Null texts give no rows.
+    The first match of a name stays, in the order of the pattern table. Null texts give no rows. A pattern is only
+    tried on texts that have its words.
     """
-    table = compile_patterns(patterns, strict_edges)
+    items = tuple((kind, tuple(ps)) for kind, ps in patterns.items())
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = _table(items, strict_edges)
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                seen = set()
-                for category, pattern in table:
-                    for m in pattern.finditer(text or ""):
-                        name = m[0].lower().strip()
-                        name = aliases.get(name, name)
-                        if name not in seen:
-                            seen.add(name)
-                            rows.append((i, name, category, m.start(), m.end(), text[max(0, m.start() - 50) : m.end() + 50].strip(), 0.8))
+                for name, category, start, end in _found(text or "", table, aliases):
+                    rows.append((i, name, category, start, end, text[max(0, start - 50) : end + 50].strip(), 0.8))
             yield pd.DataFrame(rows, columns=["id", "skill_text", "skill_type", "start", "end", "context", "confidence"])
 
     out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInPandas(run, f"id {kind}, skill_text string, skill_type string, start int, end int, context string, confidence double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import records as R
 from vacantia.functions import rules
 from vacantia.functions import text as T
-from vacantia.operators import dedup, extract, selection, tfidf
+from vacantia.operators import dedup, extract, selection, skill_table, tfidf
 from vacantia.plans.registry import register
 from vacantia.plans.standins import table
 
@@ -164,8 +164,9 @@ def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def regex_skills(spark: SparkSession, d: str) -> DataFrame:
-    """Frequent words of the synthetic prose stand for skill names."""
-    return extract.regex_skills(_docs(spark, d), {"common": ("the", "of the", "and", "est", "von")}, {"est": "east"})
+    """The whole pattern table; frequent words of the synthetic prose stand for further skill names."""
+    words = {"common": ("the", "of the", "and", "est", "von")}
+    return extract.regex_skills(_docs(spark, d), words | extract.PATTERNS, skill_table.ALIASES | {"est": "east"})
 
 
 @register("""WITH k AS (SELECT DISTINCT item_id AS skill_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM benchmark),
