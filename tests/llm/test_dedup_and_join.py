@@ -99,6 +99,22 @@ def test_near_copies_keep_one(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in brute(rows).values()}
 
 
+def test_links_equal_brute_force(spark):
+    rnd = random.Random(11)
+    base = [[rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(rnd.randint(20, 60))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        words = list(rnd.choice(base))
+        for _ in range(rnd.choice((0, 0, 1, 2))):
+            words[rnd.randrange(len(words))] = f"x{rnd.randint(0, 3)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100, None), (101, "alone")]
+    own = {i: sets(t) for i, t in rows}
+    want = {i: sum(i != j and 4 * len(a & b) >= 3 * len(a | b) > 0 for j, b in own.items()) for i, a in own.items()}
+    assert max(want.values()) > 3
+    assert {r.doc_id: r.links for r in ngram_join.similar_components(frame(spark, rows), links=True).collect()} == want
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges, Scratch(spark)).collect()}

@@ -429,7 +429,7 @@ def _overlaps(blocks: int):  # noqa: ANN202
     return _typed(run)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, part: int = 3, whole: int = 4) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, part: int = 3, whole: int = 4, links: bool = False) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id``: the smallest id reachable by links.
 
     Two texts link when their sets of ``words``-word n-grams (A-Z lowered; a shorter text is one n-gram) have
@@ -437,6 +437,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows with a null id have a null component and link with nothing; of different texts that share an
     id one (by its key) is compared. Ids must be whole numbers. Exact up to collisions of 64-bit hashes (in fragments
     48 bits and the fragment). Other columns are ignored; an empty table gives no rows.
+
+    With ``links`` a column of that name counts each row's links to other rows, exactly: all pairs of distinct sets
+    over the threshold, weighted by their copies. That takes every pair within a group; ids must then be unique.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -477,6 +480,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return _segments(reps.join(ids.hint("merge"), "id").select("id", "comp", "n", "cutoff", "grams"), count)
 
     none = F.lit(-1).cast("long").alias("cutoff")
+    if links:
+        alone = reps.select("id", F.col("id").alias("comp"), none)
+        rare = scratch.cut(by_block(placed(alone), _rarities(count), _cutoffs(part, whole)), "rare_links")
+        marked = alone.drop("cutoff").join(rare.select("id", F.col("other").alias("cutoff")), "id")
+        pairs = scratch.cut(by_block(placed(marked), _candidates(count, part, whole, False), _typed(_distinct)), "pairs_links")
+        proved = scratch.cut(by_block(placed(alone).unionByName(_to_fragments(pairs, count)), _overlaps(count), _reaching(part, whole)).where("other >= 0"), "proved")
+        copies = member.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+        both = proved.select("id", "other").unionByName(proved.select(F.col("other").alias("id"), F.col("id").alias("other")))
+        far = both.join(copies.withColumnRenamed("rep", "other"), "other").groupBy(F.col("id").alias("rep")).agg(F.sum("copies").alias("far"))
+        per = copies.join(far, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+        linked = scratch.cut(member.join(per, "rep").select("id", "links"), "links")
     alive, whole_set = roots, reps.count()
     while True:
         found = scratch.cut(by_block(placed(alive.select("id", "comp", none)), _votes(count), _reaching(part, whole)), f"votes{at}")
@@ -500,10 +514,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = whole_comp.groupBy("comp").agg(F.min("id").alias("least"))
     found = scratch.cut(whole_comp.join(least, "comp").groupBy("id").agg(F.min("least").alias("component")), "found")
     out = sizes.join(found, "id", "left")
+    if links:
+        out = out.join(linked, "id", "left")
     return out.select(
         F.when(F.col("id") != null, F.col("id")).cast(kind).alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id") != null, F.coalesce("component", "id")).cast(kind).alias("component_id"),
+        *([F.coalesce("links", F.lit(0)).cast("long").alias("links")] if links else []),
     )
 
 

@@ -45,7 +45,7 @@ def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(_read(spark, sf_dir, "documents"))
+    return ngram_join.similar_components(_read(spark, sf_dir, "documents"), links=True)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
