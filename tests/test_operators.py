@@ -184,6 +184,27 @@ def test_near_pairs_and_marks(spark):
     assert marks == {1: None, 2: None, 3: None, 4: 1}
 
 
+def test_near_pairs_equal_brute_force(spark):
+    rnd = random.Random(8)
+    base = [[rnd.choice("abcdefghij") + rnd.choice("klmnop") * rnd.randint(1, 3) for _ in range(n)] for n in (3, 10, 30, 30)]
+    rows = [(1, "dev", "alpha beta gamma delta"), (2, "dev", "delta gamma beta alpha"), (3, "dev", None), (4, "dev", "...")]
+    for i in range(5, 60):
+        words = list(rnd.choice(base))
+        if rnd.random() < 0.5:
+            words[rnd.randrange(len(words))] += rnd.choice(("", "q", "z"))
+        rnd.shuffle(words)
+        rows.append((i, rnd.choice(("dev", "cook")), " ".join(words)))
+
+    def grams(text):
+        return {f"  {w} "[k : k + 3] for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split() for k in range(len(w) + 1)}
+
+    for least in (0.95, 0.8):
+        want = {(i, j) for (i, t, x), (j, u, y) in itertools.combinations(rows, 2) if t == u and grams(x) | grams(y) and len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= least}
+        df = spark.createDataFrame(rows, "id long, title string, text string")
+        assert {(r.id_1, r.id_2) for r in dedup.near_pairs(df, "id", "title", "text", body_least=least).collect()} == want
+    assert (1, 2) in want
+
+
 def test_quota(spark):
     rows = spark.createDataFrame([("g", r, float(s), i) for i, (r, s) in enumerate([("a", 9), ("a", 8), ("a", 7), ("b", 1), ("c", 5)])], "grp string, role string, score double, id int")
     quotas = spark.createDataFrame([("g", "a", 1), ("g", "b", 1)], "grp string, role string, quota int")

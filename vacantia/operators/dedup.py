@@ -31,19 +31,32 @@ def mark_normalised(df: DataFrame, id_col: str, title: str, body: str) -> DataFr
     return out.withColumn("is_duplicate", F.coalesce(dup, F.lit(False))).withColumn("duplicate_of", F.when(dup, F.col("_first"))).withColumn("duplicate_detection_method", F.when(dup, "exact_normalized")).drop("_k", "_first", "_n")
 
 
-def near_pairs(df: DataFrame, id_col: str, title: str, body: str, title_least: float = 0.9, body_least: float = 0.95, blocks: int = 4) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str, title: str, body: str, title_least: float = 0.9, body_least: float = 0.95) -> DataFrame:
     """Pairs whose titles and bodies are alike: trigram similarity of at least the two thresholds.
 
-    Candidates share the body's length class and one of ``blocks`` smallest hashed word trigrams; both similarities
-    are then computed exactly. ``id_1`` < ``id_2``, ``title_similarity``, ``body_similarity``.
+    Exact: rows with the same trigrams become one body; bodies at the threshold share one of both's rarest
+    trigrams, as many as a partner may lack and one more, and differ in size by no more than the threshold allows.
+    A body without trigrams is like none. ``id_1`` < ``id_2``, ``title_similarity``, ``body_similarity``.
     """
-    from vacantia.functions.fuzzy import trigram_similarity
-
-    of = lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(3)), " ")))).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
-    grams = T.let(F.filter(F.split(T.dedup_key(body), " "), lambda w: w != ""), of)
-    rows = df.select(F.col(id_col).alias("id"), F.col(title).alias("t"), F.col(body).alias("b"), F.slice(F.array_sort(F.array_distinct(grams)), 1, blocks).alias("g"))
-    marks = rows.select("id", F.explode("g").alias("g"))
-    pairs = marks.withColumnRenamed("id", "id_1").join(marks.withColumnRenamed("id", "id_2"), "g").where("id_1 < id_2").select("id_1", "id_2").distinct()
-    a, b = rows.select(F.col("id").alias("id_1"), F.col("t").alias("t1"), F.col("b").alias("b1")), rows.select(F.col("id").alias("id_2"), F.col("t").alias("t2"), F.col("b").alias("b2"))
-    scored = pairs.join(a, "id_1").join(b, "id_2").select("id_1", "id_2", trigram_similarity(F.col("t1"), F.col("t2")).alias("title_similarity"), trigram_similarity(F.col("b1"), F.col("b2")).alias("body_similarity"))
-    return scored.where((F.col("title_similarity") >= title_least) & (F.col("body_similarity") >= body_least))
+    from vacantia.functions.fuzzy import trigram_similarity, trigrams
+
+    if not 0 < body_least <= 1:
+        raise ValueError("the body's threshold is over 0 and at most 1")
+    rows = df.select(F.col(id_col).alias("id"), F.col(title).alias("t"), F.array_sort(trigrams(F.col(body))).alias("x")).withColumn("h", F.sha2(F.array_join("x", "\x01"), 256)).where("size(x) > 0")
+    bodies = rows.groupBy("h").agg(F.first("x").alias("x"))
+    rare = bodies.select("h", F.explode("x").alias("g"))
+    rare = rare.join(rare.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g")
+    n = F.size("o")
+    prefix = rare.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o")).select("h", n.alias("size"), F.posexplode(F.slice("o", 1, n - F.ceil(n * body_least - 1e-9).cast("int") + 1)).alias("at", "o")).select("h", "size", "at", F.col("o.g").alias("g"))
+    a, b = (prefix.select("g", *[F.col(c).alias(c + k) for c in ("h", "size", "at")]) for k in ("1", "2"))
+    # what follows a common trigram bounds the overlap that a pair can still reach
+    fits = "h1 < h2 and least(size1, size2) >= {0} * greatest(size1, size2) - 1e-9 and (1 + {0}) * (least(at1, at2) + least(size1 - at1, size2 - at2)) >= {0} * (size1 + size2) - 1e-6".format(f"{body_least!r}D")
+    near = a.join(b, "g").where(fits).select("h1", "h2").distinct()
+    x1, x2 = bodies.select(F.col("h").alias("h1"), F.col("x").alias("x1")), bodies.select(F.col("h").alias("h2"), F.col("x").alias("x2"))
+    common = F.size(F.array_intersect("x1", "x2"))
+    scored = near.join(x1, "h1").join(x2, "h2").withColumn("common", common).withColumn("body_similarity", F.col("common") / (F.size("x1") + F.size("x2") - F.col("common"))).where(F.col("body_similarity") >= body_least).select("h1", "h2", "body_similarity")
+    same = bodies.select(F.col("h").alias("h1"), F.col("h").alias("h2"), F.lit(1.0).alias("body_similarity"))
+    both = scored.unionByName(scored.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"), "body_similarity")).unionByName(same)
+    one, two = (rows.select(F.col("h").alias(f"h{k}"), F.col("id").alias(f"id_{k}"), F.col("t").alias(f"t{k}")) for k in (1, 2))
+    pairs = one.join(both, "h1").join(two, "h2").where("id_1 < id_2")
+    return pairs.withColumn("title_similarity", trigram_similarity(F.col("t1"), F.col("t2"))).where(F.col("title_similarity") >= title_least).select("id_1", "id_2", "title_similarity", "body_similarity")

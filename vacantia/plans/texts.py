@@ -162,6 +162,12 @@ def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.top_terms(kept, docs.select(F.col("doc_id").alias("doc"), T.word_count("text").alias("words")))
 
 
+@register()
+def near_dup_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of all documents of one language whose texts are alike; the language stands for the title."""
+    return dedup.near_pairs(_docs(spark, d), "doc_id", "lang", "text")
+
+
 @register()
 def regex_skills(spark: SparkSession, d: str) -> DataFrame:
     """The whole pattern table; frequent words of the synthetic prose stand for further skill names."""
