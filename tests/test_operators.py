@@ -175,6 +175,13 @@ def test_density_clusters(spark):
     assert got[0] != got[1]
 
 
+def test_density_clusters_do_not_stop_early(spark):
+    df = spark.createDataFrame([((i * 37) % 101, [0.1 * i, 0.0]) for i in range(24)], "vec_id long, embedding array<double>")
+    assert {r.cluster for r in clustering.density_clusters(df, 0.15, 1).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        clustering.density_clusters(df, 0.15, 1, rounds=1)
+
+
 def test_near_pairs_and_marks(spark):
     body = " ".join(f"word{i}" for i in range(60))
     df = spark.createDataFrame([(1, "Dev", body), (2, "dev", body + " x"), (3, "Cook", "another text of its own here"), (4, "DEV", body)], "id long, title string, text string")

@@ -7,7 +7,7 @@ substitutes with the same inputs and outputs (noise is cluster -1).
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import product
+from itertools import count, product
 
 import numpy as np
 import pandas as pd
@@ -50,19 +50,25 @@ def neighbours(df: DataFrame, radius: float, id_col: str = "vec_id", vec: str =
     return rows.withColumn("qb", at).withColumn("bb", each).groupBy("qb", "bb").cogroup(rows.withColumn("bb", at).withColumn("qb", each).groupBy("qb", "bb")).applyInPandas(near, "a long, b long")
 
 
-def density_clusters(df: DataFrame, radius: float, least: int, id_col: str = "vec_id", rounds: int = 30) -> DataFrame:
+def density_clusters(df: DataFrame, radius: float, least: int, id_col: str = "vec_id", rounds: int | None = None) -> DataFrame:
     """``vec_id``, ``cluster``: core points (``least`` neighbours or more) that reach each other form a cluster named by its
-    smallest id; other points join their smallest core neighbour's cluster or are noise (-1)."""
+    smallest id; other points join their smallest core neighbour's cluster or are noise (-1).
+
+    Labels spread until none changes; more than ``rounds`` of them, if that is given, are an error."""
     edges = neighbours(df, radius, id_col).cache()
     core = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("id"))
     links = edges.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").cache()
-    labels = core.withColumn("cluster", F.col("id")).checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else core.withColumn("cluster", F.col("id"))
-    for _ in range(rounds):
+    kept = df.sparkSession.sparkContext.getCheckpointDir()
+    cut = lambda x: x.checkpoint() if kept else x.cache()  # noqa: E731 - plans would grow by the round
+    labels = cut(core.withColumn("cluster", F.col("id")))
+    for at in count():
+        if rounds is not None and at >= rounds:
+            raise RuntimeError(f"labels still change after {rounds} rounds")
         best = links.join(labels, links.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("m"))
         new = labels.join(best, "id", "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
         # pointer jumping: take the label of the label
         up = new.select(F.col("id").alias("cluster"), F.col("cluster").alias("up"))
-        new = new.join(up, "cluster").select("id", F.col("up").alias("cluster")).cache()
+        new = cut(new.join(up, "cluster").select("id", F.col("up").alias("cluster")))
         if not new.join(labels.withColumnRenamed("cluster", "was"), "id").where("cluster <> was").limit(1).count():
             break
         labels = new
