@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in numpy; one longer document forms a slice of its own.
 SLICE_BYTES = 1 << 21
@@ -19,11 +20,17 @@ SLICE_BYTES = 1 << 21
 class Scratch:
     """Written tables that cut lineage, under ``spark.checkpoint.dir``.
 
-    A folder of our own in the temp directory is used only where the session names none (tests, one machine).
+    Where the session names no such folder, a session on one machine (``local`` master) uses one of our own in
+    the temp directory; on a cluster that is an error, since executors share no local folder. The tables that a
+    result still reads stay until the folder is cleared.
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "vacantia-scratch")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = os.path.join(tempfile.gettempdir(), "vacantia-scratch")
         self.spark, self.root = spark, f"{base}/vacantia-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
@@ -43,6 +50,25 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], rows: str, by: str) -> DataFrame:
+    """Left join of ``many`` with the unique ``keys`` of ``few``, whatever share of the rows one key has.
+
+    ``few`` tells in ``rows`` how many rows of ``many`` have each key. Keys with more than one part in four
+    times the shuffle partitions are at most four times the partitions in number, so they are broadcast; their
+    rows are dealt by ``by`` and meet nothing in the sort-merge join that serves all other keys.
+    """
+    spark = many.sparkSession
+    most = 4 * partitions(spark)
+    bound = max(1, (few.agg(F.sum(rows)).first()[0] or 0) // most)
+    told = [c for c in few.columns if c not in keys]
+    hot = few.where(F.col(rows) > bound).select(*[F.col(k) for k in keys], *[F.col(c).alias(f"_hot_{c}") for c in told], F.lit(True).alias("_hot"))
+    tagged = many.join(F.broadcast(hot), keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    dealt = [F.when(F.col("_hot"), F.xxhash64(F.col(by), F.lit(k))).otherwise(F.col(k)).alias(f"_key_{k}") for k in keys]
+    cold = few.where(F.col(rows) <= bound).select(*[F.col(k).cast("long").alias(f"_key_{k}") for k in keys], *[F.col(c).alias(f"_cold_{c}") for c in told], F.lit(False).alias("_hot"))
+    joined = tagged.select("*", *dealt).join(cold.hint("merge"), ["_hot", *[f"_key_{k}" for k in keys]], "left")
+    return joined.select(*many.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in told])
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     got = batch.column(name)
     return got.combine_chunks() if isinstance(got, pa.ChunkedArray) else got

@@ -1,40 +1,39 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 A document is the set of its n-gram hashes. The global order of n-grams is the order of their hashes, cut
-into fragments of equal range; a fragment holds the segment of every document that falls in it, so
-overlaps are counted fragment by fragment and summed per pair. Three things keep the work in proportion to
-the input and the result exact:
-
-1. A document can only link if three quarters of its n-grams occur elsewhere. The first pass counts, in each
-   fragment, how many n-grams of each document occur in another; the others leave.
-2. Documents with equal sets become one. In each fragment every n-gram then votes for its smallest holder
-   (its smallest holder in another component, if the first is in the same); votes are overlaps, so votes that
-   reach the threshold prove a link. Links contract to components, and a round needs one row for each
-   document and holder, never the pairs within a group. Rounds go on, each with the
-   documents that still have enough n-grams in other components, while a round pays.
-3. What is left is counted pair by pair. Two documents in different components are candidates if the rarest
-   n-grams of both have one in common: as many as a partner may lack and one more, in an order by the number
-   of holders. The overlaps of the candidates are counted per fragment, summed per pair, and compared with the
-   threshold.
+into fragments of equal range. A fragment sees its range of every document and counts partial overlaps,
+which are summed per pair. Four steps keep the pairs few and the result exact:
+
+1. A document can only link if three quarters of its n-grams occur elsewhere. The fragments count how many of
+   each document's n-grams do; the others leave. Documents with equal sets become one.
+2. Every document gets a pivot. An n-gram votes for its holder whose n-grams are the most common; a document
+   chooses the holder with the most votes, itself if none reaches half of its n-grams. With D the
+   difference of a set and its pivot's, W = whole + part, Q = whole - part and e = W|D| - Q n, two documents
+   of one pivot link if and only if e + e' <= 2W |D & D'|. So pairs with e + e' <= 0 link without being made:
+   they are counted from a histogram of e, and all of them meet in the member with the smallest e.
+3. Pairs of one pivot with e + e' > 0 need common differences. The fragments count |D & D'| on the differences
+   that another document of the pivot has too, and the counts are summed per pair.
+4. Pairs of different pivots are candidates if they share one of both documents' rarest n-grams, in an order by
+   the number of holders: at position r of s n-grams that occur under other pivots, a partner may have
+   W (s - r) / part - n n-grams at most. The overlap of what is left is counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm._util import Scratch, column, lower_ascii, mix, partitions, slices, span_hashes, text_buffer, word_spans
+from vacantia.llm._util import Scratch, column, lower_ascii, mix, partitions, slices, span_hashes, spread_join, text_buffer, word_spans
 from vacantia.llm.components import components
 
-LOW = np.uint64((1 << 48) - 1)
-#: Votes go on while a round merges one in so many of the sets; the rest is cheaper pair by pair. Results don't depend on it.
-ROUND_PAYS = 20
-#: Pairs that a task holds at once while it counts overlaps.
-PAIRS = 1 << 21
+#: Pairs that a task holds at once.
+PAIRS = 1 << 18
+#: Text bytes and n-grams that one fragment holds, on average; the number of fragments follows the input.
+FRAGMENT_BYTES, FRAGMENT_GRAMS = 32 << 20, 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> list[np.ndarray]:
@@ -82,22 +81,35 @@ def _eight(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _split(sets: list[np.ndarray], count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(fragment, sizes of the segments of all sets, their hashes in order of the sets)."""
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    frag = _fragments(hashes, count)
-    order = np.argsort(frag.astype(np.uint16) if count < 65536 else frag, kind="stable")
-    cut = np.searchsorted(frag[order], np.arange(count + 1))
-    for f in range(count):
-        take = order[cut[f] : cut[f + 1]]
-        yield f, np.bincount(owner[take], minlength=len(sets)), hashes[take]
+def _longs(raw: bytes, width: int = 1) -> np.ndarray:
+    return np.frombuffer(raw, np.int64).reshape(-1, width)
+
+
+def _typed(run):  # noqa: ANN001, ANN202
+    """Names the kinds of an inner function's argument and result, which choose the iterator form."""
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(column(batch, x).to_pylist() for x in names), strict=True)
+
+
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
 
 def _sizes_and_shared(docs: DataFrame, words: int, part: int, whole: int) -> DataFrame:
-    """``id``, ``n`` (set size) and ``live``: enough n-grams occur in another row to allow a link."""
-    count = partitions(docs.sparkSession)
+    """``id``, ``n`` (set size) and ``live``: enough n-grams occur in another row to allow a link.
+
+    N-grams that repeat within a slice of texts are known to be shared there and travel once, without their
+    holders, so a very common n-gram is one entry for each slice.
+    """
+    spark = docs.sparkSession
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(partitions(spark), int(text_bytes // FRAGMENT_BYTES))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,48 +118,65 @@ def _sizes_and_shared(docs: DataFrame, words: int, part: int, whole: int) -> Dat
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
                 sets = shingle_sets(*text_buffer(column(piece, "text")), words)
-                ids = column(piece, "id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
-                rows = [(f, owner, ids if f == 0 else b"", n.astype(np.int32).tobytes(), _six(h)) for f, n, h in _split(sets, count) if f == 0 or len(h)]
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                hashes = np.concatenate(sets)
+                of = np.repeat(np.arange(len(sets)), size)
+                every, at, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                again = times[at] > 1
+                known = np.bincount(of[again], minlength=len(sets))
+                common = every[times > 1]
+                alone, of = hashes[~again], of[~again]
+                order = np.argsort(_fragments(alone, count), kind="stable")
+                alone, of = alone[order], of[order]
+                ends = np.searchsorted(_fragments(alone, count), np.arange(count + 1))
+                both = np.searchsorted(_fragments(common, count), np.arange(count + 1))
+                head = np.stack([column(piece, "id").to_numpy(zero_copy_only=False).astype(np.int64), size, known], 1).tobytes()
+                rows = []
+                for f in range(count):
+                    a, b = ends[f], ends[f + 1]
+                    if f == 0 or a < b or both[f] < both[f + 1]:
+                        per = np.bincount(of[a:b], minlength=len(sets)).astype(np.int32)
+                        rows.append((f, owner, head if f == 0 else b"", per.tobytes(), _six(alone[a:b]), _six(common[both[f] : both[f + 1]])))
                 owner += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["frag", "owner", "ids", "sizes", "grams"])
+                yield _batch(rows, frag=pa.int32(), owner=pa.int64(), heads=pa.binary(), sizes=pa.binary(), grams=pa.binary(), common=pa.binary())
 
     def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, grams = [], []
-        for batch in batches:
-            for owner, ids, sizes, g in zip(*(column(batch, x).to_pylist() for x in ("owner", "ids", "sizes", "grams")), strict=True):
-                rows.append((owner, ids, np.frombuffer(sizes, np.int32)))
-                grams.append(_eight(g))
+        rows, grams, others = [], [], []
+        for owner, heads, sizes, g, c in _rows(batches, "owner", "heads", "sizes", "grams", "common"):
+            rows.append((owner, heads, np.frombuffer(sizes, np.int32)))
+            grams.append(_eight(g))
+            others.append(_eight(c))
         lengths = [len(g) for g in grams]
         every = np.concatenate(grams)
         del grams
+        known = np.unique(np.concatenate(others))
         order = np.argsort(every)
         every = every[order]
-        same = every[1:] == every[:-1]
-        shared = np.zeros(len(every), bool)
         hit = np.zeros(len(every), bool)
+        same = every[1:] == every[:-1]
         hit[1:] |= same
         hit[:-1] |= same
+        if len(known):
+            hit |= known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every
+        shared = np.zeros(len(every), bool)
         shared[order] = hit
         at = 0
-        out = []
-        for (owner, ids, sizes), length in zip(rows, lengths, strict=True):
+        for (owner, heads, sizes), length in zip(rows, lengths, strict=True):
             got = np.bincount(np.repeat(np.arange(len(sizes)), sizes), shared[at : at + length], len(sizes)).astype(np.int32)
-            out.append((owner, ids, sizes.tobytes(), got.tobytes()))
+            yield _batch([(owner, heads, got.tobytes())], owner=pa.int64(), heads=pa.binary(), shared=pa.binary())
             at += length
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["owner", "ids", "sizes", "shared"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, size, shared = b"", 0, 0
-        for batch in batches:
-            for i, n, s in zip(*(column(batch, x).to_pylist() for x in ("ids", "sizes", "shared")), strict=True):
-                ids = ids or i
-                size = size + np.frombuffer(n, np.int32).astype(np.int64)
-                shared = shared + np.frombuffer(s, np.int32).astype(np.int64)
-        live = (size > 0) & (shared * whole >= part * size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, np.int64)), pa.array(size), pa.array(live)], ["id", "n", "live"])
-
-    cut_rows = docs.select("id", "text").mapInArrow(cut, "frag int, owner long, ids binary, sizes binary, grams binary")
-    counted = cut_rows.groupBy("frag").applyInArrow(count_shared, "owner long, ids binary, sizes binary, shared binary")
+        heads, shared = b"", 0
+        for h, s in _rows(batches, "heads", "shared"):
+            heads = heads or h
+            shared = shared + np.frombuffer(s, np.int32).astype(np.int64)
+        ids, size, known = _longs(heads, 3).T
+        live = (size > 0) & ((shared + known) * whole >= part * size)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(live)], ["id", "n", "live"])
+
+    cut_rows = docs.select("id", "text").mapInArrow(cut, "frag int, owner long, heads binary, sizes binary, grams binary, common binary")
+    counted = cut_rows.groupBy("frag").applyInArrow(count_shared, "owner long, heads binary, shared binary")
     return counted.groupBy("owner").applyInArrow(decide, "id long, n long, live boolean")
 
 
@@ -166,205 +195,185 @@ def _sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, grams binary")
 
 
-def _segments(sets: DataFrame, count: int) -> DataFrame:
-    """Rows (``id``, ``comp``, ``n``, ``cutoff``, ``grams``) as packed segments by fragment."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in slices(batch, "grams", 4 << 20):
-                own = [np.frombuffer(g, np.uint64) for g in column(piece, "grams").to_pylist()]
-                head = np.stack([column(piece, x).to_numpy(zero_copy_only=False) for x in ("id", "comp", "n", "cutoff")], 1)
-                rows = []
-                for f, n, h in _split(own, count):
-                    some = n > 0
-                    if len(h):
-                        rows.append((f, head[some].tobytes(), n[some].astype(np.int32).tobytes(), _six(h)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["frag", "heads", "sizes", "grams"])
-
-    return sets.mapInArrow(run, _SEGMENT)
+class _Pack:
+    """Some documents' key sets: a matrix of ``heads``, ``sizes`` and their ``keys`` one after the other."""
 
+    def __init__(self, heads: bytes, width: int, sizes: bytes, keys: bytes) -> None:
+        self.heads, self.sizes = _longs(heads, width), np.frombuffer(sizes, np.int32).astype(np.int64)
+        self.keys = np.frombuffer(keys, np.uint64)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.distinct, self.at = np.unique(self.keys, return_inverse=True)
 
-_SEGMENT = "frag int, heads binary, sizes binary, grams binary"
+    def ranked(self, asked: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries with a ``common`` key by document and rarity, their positions, and each document's number of them."""
+        some = np.flatnonzero(common)
+        some = some[np.lexsort((self.keys[some], asked[some], self.owner[some]))]
+        s = np.bincount(self.owner[some], minlength=len(self.sizes))
+        return some, np.arange(len(some)) - np.repeat(np.cumsum(s) - s, s), s
 
 
-class _Fragment:
-    """The segments of one fragment: heads (id, comp, n, cutoff), and per n-gram its group and segment.
+def _packs(rows: DataFrame, *heads: str) -> DataFrame:
+    """Rows with ``keys`` as packs of about 2 MB, each with an id; written before use, since the ids count."""
 
-    Entries are sorted by n-gram, within one by component and id. ``cross`` marks groups that hold two components;
-    ``rank`` is the class of a group's size, the order in which n-grams count as rare.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def __init__(self, batches: Iterator[pa.RecordBatch]) -> None:
-        heads, sizes, grams, self.pairs = [], [], [], []
+        pack = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for h, n, g in zip(*(column(batch, x).to_pylist() for x in ("heads", "sizes", "grams")), strict=True):
-                if n is None:
-                    self.pairs.append(np.frombuffer(h, np.int64).reshape(-1, 3))
-                    continue
-                heads.append(np.frombuffer(h, np.int64).reshape(-1, 4))
-                sizes.append(np.frombuffer(n, np.int32))
-                grams.append(_eight(g))
-        self.head = head = np.concatenate(heads) if heads else np.zeros((0, 4), np.int64)
-        every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(head)), np.concatenate(sizes)) if heads else np.zeros(0, np.int64)
-        place = np.empty(len(head), np.int64)
-        place[np.lexsort((head[:, 0], head[:, 1]))] = np.arange(len(head))
-        order = np.lexsort((place[owner], every))
-        self.owner, every = owner[order], every[order]
-        new = np.ones(len(every), bool)
-        new[1:] = every[1:] != every[:-1]
-        self.first, self.group = np.flatnonzero(new), np.cumsum(new) - 1
-        self.size = np.diff(np.append(self.first, len(every)))
-        comp = head[self.owner, 1]
-        self.step = np.zeros(len(every), bool)  # a second component begins here
-        self.step[1:] = ~new[1:] & (comp[1:] != comp[:-1])
-        self.cross = np.zeros(len(self.first), bool)
-        self.cross[self.group[self.step]] = True
-        self.rank = np.frompyfunc(int.bit_length, 1, 1)(self.size).astype(np.int64) if len(self.size) else self.size
-
+            for piece in slices(batch, "keys"):
+                keys = column(piece, "keys").to_pylist()
+                head = np.stack([column(piece, x).to_numpy(zero_copy_only=False) for x in heads], 1).astype(np.int64)
+                sizes = np.fromiter((len(k) >> 3 for k in keys), np.int32, len(keys))
+                yield _batch([(pack, head.tobytes(), sizes.tobytes(), b"".join(keys))], pack=pa.int64(), heads=pa.binary(), sizes=pa.binary(), keys=pa.binary())
+                pack += 1
 
-_PACKED = "block int, ids binary, others binary, sizes binary, votes binary"
-_LINK = "id long, other long, size long"
+    return rows.select(*heads, "keys").mapInArrow(run, "pack long, heads binary, sizes binary, keys binary")
 
 
-def _packed(blocks: int, ids: np.ndarray, others: np.ndarray, sizes: np.ndarray, votes: np.ndarray) -> pa.RecordBatch:
-    """Counts of pairs as one row for each block of first ids."""
-    block = (mix(ids.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-    order = np.argsort(block, kind="stable")
-    cut = np.searchsorted(block[order], np.arange(blocks + 1))
-    rows = [(k, *(x[o].astype(np.int64).tobytes() for x in (ids, others, sizes, votes))) for k in range(blocks) if cut[k] < cut[k + 1] for o in (order[cut[k] : cut[k + 1]],)]
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["block", "ids", "others", "sizes", "votes"])
+_HOW = {"sum": np.add, "min": np.minimum, "max": np.maximum}
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The counts of one block summed per pair."""
-    parts: list[list[np.ndarray]] = [[], [], [], []]
-    for batch in batches:
-        for k, name in enumerate(("ids", "others", "sizes", "votes")):
-            parts[k] += [np.frombuffer(x, np.int64) for x in column(batch, name).to_pylist()]
-    ids, others, sizes, votes = (np.concatenate(p) for p in parts)
-    order = np.lexsort((others, ids))
-    ids, others, sizes, votes = ids[order], others[order], sizes[order], votes[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (others[1:] != others[:-1])
-    first = np.flatnonzero(new)
-    return ids[first], others[first], sizes[first], np.add.reduceat(votes, first)
+def _ask(packs: DataFrame, width: int, count: int, local: Callable, how: tuple[str, ...], then: Callable, schema: str) -> DataFrame:
+    """What the fragments know about each key of each pack, given to ``then``.
 
+    ``local(pack)`` gives columns of numbers for a pack's distinct keys, so that a common key is one entry
+    for each pack. A fragment folds them per key by ``how`` (``first``: the smallest row), and
+    ``then(pack, columns)`` gets them aligned with the pack's entries.
+    """
 
-def _reaching(part: int, whole: int):  # noqa: ANN202
-    """Pairs whose summed overlap reaches the threshold, and (id, -1) where enough n-grams lie in other components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, others, sizes, votes = _summed(batches)
-        ok = np.where(others >= 0, (whole + part) * votes >= part * sizes, whole * votes >= part * sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (ids, others, sizes)], ["id", "other", "size"])
-
-    return _typed(run)
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, heads, sizes, keys in _rows(batches, "pack", "heads", "sizes", "keys"):
+            p = _Pack(heads, width, sizes, keys)
+            told = np.stack(local(p), 1)
+            ends = np.searchsorted(_fragments(p.distinct, count), np.arange(count + 1))
+            rows = [(f, pack, p.distinct[a:b].tobytes(), told[a:b].tobytes()) for f in range(count) for a, b in ((ends[f], ends[f + 1]),) if a < b]
+            yield _batch(rows, frag=pa.int32(), pack=pa.int64(), keys=pa.binary(), told=pa.binary())
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, keys, told = [], [], []
+        for frag, pack, k, t in _rows(batches, "frag", "pack", "keys", "told"):
+            rows.append((frag, pack, len(k) >> 3))
+            keys.append(np.frombuffer(k, np.uint64))
+            told.append(_longs(t, len(how)))
+        every, told = np.concatenate(keys), np.concatenate(told)
+        order = np.lexsort((*reversed(told.T), every)) if "first" in how else np.argsort(every, kind="stable")
+        new = np.ones(len(every), bool)
+        new[1:] = every[order[1:]] != every[order[:-1]]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        answer = np.empty_like(told)
+        for k, x in enumerate(how):
+            answer[order, k] = (told[order[first], k] if x == "first" else _HOW[x].reduceat(told[order, k], first))[group]
+        at = 0
+        for frag, pack, n in rows:
+            yield _batch([(pack, frag, answer[at : at + n].tobytes())], pack=pa.int64(), frag=pa.int32(), answer=pa.binary())
+            at += n
 
+    def back(answers: pa.Table, own: pa.Table) -> pa.Table:
+        if not own.num_rows or not answers.num_rows:
+            return pa.Table.from_batches([], schema=empty)
+        _, heads, sizes, keys = (own.column(x)[0].as_py() for x in ("pack", "heads", "sizes", "keys"))
+        p = _Pack(heads, width, sizes, keys)
+        answers = answers.sort_by("frag")
+        known = np.concatenate([_longs(a, len(how)) for a in answers.column("answer").to_pylist()])
+        return pa.Table.from_batches([then(p, known[p.at].T)], schema=empty)
 
-def _typed(run):  # noqa: ANN001, ANN202
-    """Names the kinds of an inner function's argument and result, which choose the iterator form."""
-    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return run
+    empty = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in schema.split(", "))])
+    answers = packs.mapInArrow(send, "frag int, pack long, keys binary, told binary").groupBy("frag").applyInArrow(_typed(meet), "pack long, frag int, answer binary")
+    return answers.groupBy("pack").cogroup(packs.groupBy("pack")).applyInArrow(back, schema)
 
 
-def _votes(blocks: int):  # noqa: ANN202
-    """For each document: n-grams it shares with other components (``other`` -1), and how many of them have
-    ``other`` as the smallest holder in another component."""
+def _popularity(pack: _Pack, columns: np.ndarray) -> pa.RecordBatch:
+    """``score``: how common a document's n-grams are, as the mean logarithm of their holders."""
+    total = np.bincount(pack.owner, np.log2(columns[0]), len(pack.sizes))
+    score = np.round(total / np.maximum(pack.sizes, 1) * 1024).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pack.heads[:, 0]), pa.array(score)], ["id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = _Fragment(batches)
-        head, owner, group = f.head, f.owner, f.group
-        comp, lead = head[owner, 1], owner[f.first]
-        change = np.flatnonzero(f.step)
-        second = np.full(len(f.first), -1)
-        second[group[change][::-1]] = owner[change][::-1]
-        other = np.where(comp == head[lead, 1][group], second[group], lead[group])
-        some = other >= 0
-        pair, votes = np.unique(owner[some] * len(head) + other[some], return_counts=True)
-        a, b = pair // max(1, len(head)), pair % max(1, len(head))
-        cross = np.bincount(owner[some], minlength=len(head))
-        have = np.flatnonzero(cross)
-        ids, others = np.concatenate((head[a, 0], head[have, 0])), np.concatenate((head[b, 0], np.full(len(have), -1)))
-        yield _packed(blocks, ids, others, np.concatenate((head[a, 2] + head[b, 2], head[have, 2])), np.concatenate((votes, cross[have])))
 
-    return _typed(run)
+def _choice(pack: _Pack, columns: np.ndarray) -> pa.RecordBatch:
+    """``choice``: the holder that leads most of a document's n-grams, itself if that is less than half."""
+    leader, names = np.unique(columns[1], return_inverse=True)[::-1]
+    pair, votes = np.unique(pack.owner * len(names) + leader, return_counts=True)
+    owner = pair // len(names)
+    order = np.lexsort((names[pair % len(names)], -votes, owner))
+    lead = order[np.unique(owner[order], return_index=True)[1]]
+    choice = pack.heads[:, 0].copy()
+    enough = lead[2 * votes[lead] >= pack.sizes[owner[lead]]]
+    choice[owner[enough]] = names[pair[enough] % len(names)]
+    return pa.RecordBatch.from_arrays([pa.array(pack.heads[:, 0]), pa.array(choice)], ["id", "choice"])
 
 
-def _rarities(blocks: int):  # noqa: ANN202
-    """For each document and class of group size: its n-grams of that class that lie in other components too."""
+def _differences(part: int, whole: int):  # noqa: ANN202
+    """``id``, ``n``, ``pivot``, ``e`` and ``keys``: the n-grams in which a set and its pivot's differ, salted by the pivot."""
+    w, q = whole + part, whole - part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = _Fragment(batches)
-        some = f.cross[f.group]
-        key, n = np.unique(f.owner[some] * 64 + f.rank[f.group[some]], return_counts=True)
-        yield _packed(blocks, f.head[key // 64, 0], key % 64, f.head[key // 64, 2], n)
+        for batch in batches:
+            for piece in slices(batch, "keys"):
+                rows = []
+                for i, n, g, pivot, p in _rows([piece], "id", "n", "keys", "pivot", "pivot_keys"):
+                    own = np.frombuffer(g, np.uint64)
+                    d = np.setxor1d(own, np.frombuffer(p, np.uint64), assume_unique=True) if p is not None and i != pivot else own[:0]
+                    if len(d) > n:  # the pivot tells nothing
+                        pivot, d = i, own[:0]
+                    rows.append((i, n, pivot, w * len(d) - q * n, np.sort(mix(d ^ mix(np.array([pivot]).view(np.uint64)))).tobytes()))
+                yield _batch(rows, id=pa.int64(), n=pa.int64(), pivot=pa.int64(), e=pa.int64(), keys=pa.binary())
 
-    return _typed(run)
+    return run
 
 
-def _cutoffs(part: int, whole: int):  # noqa: ANN202
-    """``other``: the class up to which a document's rarest n-grams must hold one of any partner; documents with too
-    few n-grams in other components drop out."""
+def _entries(pack: _Pack, some: np.ndarray, count: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Entries (key, id, columns) for the fragments; the head holds a document's numbers."""
+    keys = pack.keys[some]
+    frag = _fragments(keys, count)
+    order = np.argsort(frag, kind="stable")
+    body = np.stack([keys.view(np.int64), pack.heads[pack.owner[some], 0], *columns], 1)[order]
+    ends = np.searchsorted(frag[order], np.arange(count + 1))
+    rows = [(f, body[a:b].tobytes()) for f in range(count) for a, b in ((ends[f], ends[f + 1]),) if a < b]
+    return _batch(rows, frag=pa.int32(), entries=pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rank, sizes, n = _summed(batches)
-        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        total = np.add.reduceat(n, first)
-        need = total + (-part * sizes[first]) // whole + 1  # all but those that a partner may lack, and one
-        upto = np.cumsum(n)
-        own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ids))))
-        before = upto[first] - n[first]
-        reached = (upto - before[own] >= need[own]) & (need[own] > 0)
-        at = np.full(len(first), -1)
-        hit = np.flatnonzero(reached)[::-1]
-        at[own[hit]] = rank[hit]
-        ok = at >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (ids[first], at, sizes[first])], ["id", "other", "size"])
 
-    return _typed(run)
+_PACKED = "block int, ids binary, others binary, sizes binary, votes binary"
 
 
-def _candidates(blocks: int, part: int, whole: int, star: bool):  # noqa: ANN202
-    """Pairs in different components with sizes that allow a link and a common n-gram among both's rarest.
+def _packed(blocks: int, ids: np.ndarray, others: np.ndarray, sizes: np.ndarray, votes: np.ndarray) -> pa.RecordBatch:
+    """Counts of pairs as one row for each block of pairs."""
+    with np.errstate(over="ignore"):
+        block = (mix(ids.astype(np.uint64) + mix(others.astype(np.uint64))) % np.uint64(blocks)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    cut = np.searchsorted(block[order], np.arange(blocks + 1))
+    rows = [(k, *(x[o].astype(np.int64).tobytes() for x in (ids, others, sizes, votes))) for k in range(blocks) if cut[k] < cut[k + 1] for o in (order[cut[k] : cut[k + 1]],)]
+    return _batch(rows, block=pa.int32(), ids=pa.binary(), others=pa.binary(), sizes=pa.binary(), votes=pa.binary())
 
-    With ``star`` only pairs of an n-gram's smallest holder with its others: a row for each holder.
-    """
+
+def _pairs(blocks: int, width: int, allowed: Callable):  # noqa: ANN202
+    """Pairs of entries with a common key that ``allowed`` lets pass, with how many such keys they have in the fragment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = _Fragment(batches)
-        head = f.head
-        keep = f.cross[f.group] & (f.rank[f.group] <= head[f.owner, 3])
-        owner, group = f.owner[keep], f.group[keep]
-        comp, size = head[owner, 1], head[owner, 2]
-        place = np.arange(len(group))
-        rest = np.searchsorted(group, group, "right") - place - 1  # partners that follow in the group
-        if star:
-            rest[np.searchsorted(group, group, "left") != place] = 0
+        rows = np.concatenate([_longs(e, width) for (e,) in _rows(batches, "entries")])
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        names, local = np.unique(rows[:, 1], return_inverse=True)
+        place = np.arange(len(rows))
+        rest = np.searchsorted(rows[:, 0], rows[:, 0], "right") - place - 1  # partners that follow
         total = np.cumsum(rest)
-        left: list[np.ndarray] = []
+        left: list[tuple] = []
         held, at = 0, 0
 
         def flush() -> pa.RecordBatch:
-            pair = np.unique(np.concatenate(left))
+            code, size, n = (np.concatenate(x) for x in zip(*left, strict=True))
             left.clear()
-            a, b = pair // len(head), pair % len(head)
-            return _packed(blocks, head[a, 0], head[b, 0], head[a, 2] + head[b, 2], np.ones(len(a), np.int64))
+            code, first, back = np.unique(code, return_index=True, return_inverse=True)
+            return _packed(blocks, names[code // len(names)], names[code % len(names)], size[first], np.bincount(back, n).astype(np.int64))
 
-        while at < len(group):
+        while at < len(rows):
             stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
             n = rest[at:stop]
             a = np.repeat(np.arange(at, stop), n)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-            ok = (comp[a] != comp[b]) & (np.minimum(size[a], size[b]) * whole >= part * np.maximum(size[a], size[b]))
-            x, y = owner[a[ok]], owner[b[ok]]
-            swap = head[x, 0] > head[y, 0]
-            x, y = np.where(swap, y, x), np.where(swap, x, y)
-            if len(x):
-                left.append(np.unique(x * len(head) + y))
-                held += len(left[-1])
+            ok, size = allowed(rows[a].T, rows[b].T)
+            if ok.any():
+                code, first, times = np.unique(local[a[ok]] * len(names) + local[b[ok]], return_index=True, return_counts=True)
+                left.append((code, size[ok][first], times))
+                held += len(code)
             if held > PAIRS:
                 yield flush()
                 held = 0
@@ -375,58 +384,46 @@ def _candidates(blocks: int, part: int, whole: int, star: bool):  # noqa: ANN202
     return _typed(run)
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, others, sizes, _ = _summed(batches)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, others, sizes)], ["id", "other", "size"])
+def _summed(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The counts of one block summed per pair."""
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    for row in _rows(batches, "ids", "others", "sizes", "votes"):
+        for k, x in enumerate(row):
+            parts[k].append(np.frombuffer(x, np.int64))
+    ids, others, sizes, votes = (np.concatenate(p) for p in parts)
+    order = np.lexsort((others, ids))
+    ids, others, sizes, votes = ids[order], others[order], sizes[order], votes[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (others[1:] != others[:-1])
+    first = np.flatnonzero(new)
+    return ids[first], others[first], sizes[first], np.add.reduceat(votes, first)
 
 
-def _to_fragments(pairs: DataFrame, count: int) -> DataFrame:
-    """Candidate pairs packed once for each fragment; they have no ``sizes``."""
+def _reaching(times: int):  # noqa: ANN202
+    """Pairs whose summed overlap, ``times`` over, reaches their size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body = np.stack([column(batch, x).to_numpy(zero_copy_only=False) for x in ("id", "other", "size")], 1).tobytes()
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(count, dtype=np.int32)), pa.array([body] * count, pa.binary()), pa.nulls(count, pa.binary()), pa.nulls(count, pa.binary())], ["frag", "heads", "sizes", "grams"])
+        ids, others, sizes, votes = _summed(batches)
+        ok = times * votes >= sizes
+        yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(others[ok])], ["id", "other"])
 
-    return pairs.mapInArrow(run, _SEGMENT)
+    return _typed(run)
 
 
-def _overlaps(blocks: int):  # noqa: ANN202
-    """Common n-grams of the candidate pairs in one fragment."""
+def _overlapping(part: int, whole: int):  # noqa: ANN202
+    """Candidate pairs with both sets, held against the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = _Fragment(batches)
-        if not f.pairs or not len(f.head):
-            return
-        order = np.argsort(f.head[:, 0])
-        known = f.head[order, 0]
-        groups = max(1, len(f.first))
-        held = np.sort(f.owner * groups + f.group)  # (segment, n-gram) entries
-        begin = np.searchsorted(held, np.arange(len(f.head) + 1) * groups)
-        for pairs in f.pairs:
-            at = [np.minimum(np.searchsorted(known, pairs[:, k]), len(known) - 1) for k in (0, 1)]
-            there = (known[at[0]] == pairs[:, 0]) & (known[at[1]] == pairs[:, 1])
-            a, b, some = order[at[0][there]], order[at[1][there]], pairs[there]
-            swap = begin[a + 1] - begin[a] > begin[b + 1] - begin[b]  # look the smaller segment's n-grams up
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            n = begin[a + 1] - begin[a]
-            total, start = np.cumsum(n), 0
-            while start < len(a):
-                stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PAIRS, "right")))
-                m = n[start:stop]
-                which = np.repeat(np.arange(start, stop), m)
-                entry = np.repeat(begin[a[start:stop]] - (np.cumsum(m) - m), m) + np.arange(len(which))
-                want = b[which] * groups + held[entry] % groups
-                spot = np.minimum(np.searchsorted(held, want), len(held) - 1)
-                votes = np.bincount(which[held[spot] == want] - start, minlength=stop - start)
-                hit = votes > 0
-                part = some[start:stop][hit]
-                if len(part):
-                    yield _packed(blocks, part[:, 0], part[:, 1], part[:, 2], votes[hit])
-                start = stop
+        for batch in batches:
+            for piece in slices(batch, "a"):
+                rows = []
+                for i, other, a, b in _rows([piece], "id", "other", "a", "b"):
+                    both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+                    if 8 * (whole + part) * both >= part * (len(a) + len(b)):
+                        rows.append((i, other))
+                yield _batch(rows, id=pa.int64(), other=pa.int64())
 
-    return _typed(run)
+    return run
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, part: int = 3, whole: int = 4, links: bool = False) -> DataFrame:
@@ -434,12 +431,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two texts link when their sets of ``words``-word n-grams (A-Z lowered; a shorter text is one n-gram) have
     ``whole`` * intersection >= ``part`` * union. Null and empty texts have no n-gram and link with nothing;
-    rows with a null id have a null component and link with nothing; of different texts that share an
-    id one (by its key) is compared. Ids must be whole numbers. Exact up to collisions of 64-bit hashes (in fragments
-    48 bits and the fragment). Other columns are ignored; an empty table gives no rows.
+    rows with a null id have a null component and link with nothing; repeated rows tie and get equal results; of
+    different texts that share an id one (by its key) is compared. Ids must be whole numbers. Texts of any
+    length are read whole. Exact up to collisions of 64-bit hashes (in the first pass 48 bits and the fragment).
+    Other columns are ignored, whatever their names; an empty table gives no rows.
 
-    With ``links`` a column of that name counts each row's links to other rows, exactly: all pairs of distinct sets
-    over the threshold, weighted by their copies. That takes every pair within a group; ids must then be unique.
+    With ``links`` a column of that name counts each row's links to other rows, exactly: pairs of distinct sets
+    over the threshold, weighted by their copies. Ids must then be unique.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -450,72 +448,121 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = sizes.where(f"live and id <> {null}").select("id").distinct()
     # sort-merge at every size: what is joined here grows with the input
     sets = scratch.cut(_sets_of(base.join(live.hint("merge"), "id", "left_semi"), words).where("n > 0"), "sets")
-    classes = scratch.cut(sets.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "classes")
-    member = scratch.cut(sets.select("id", "k1", "k2", "n").join(classes, ["k1", "k2", "n"]).select("id", "rep").distinct(), "member")
+    classes = scratch.cut(sets.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    member = scratch.cut(spread_join(sets.select("id", "k1", "k2", "n"), classes, ["k1", "k2", "n"], "rows", "id").select("id", "rep").distinct(), "member")
     chosen = sets.join(classes.select("k1", "k2", "n", F.col("rep").alias("id")).hint("merge"), ["id", "k1", "k2", "n"], "left_semi")
-    reps = scratch.cut(chosen.groupBy("id").agg(F.min_by(F.struct("n", "grams"), F.struct("k1", "k2")).alias("s")).select("id", "s.n", "s.grams"), "reps")
+    reps = scratch.cut(chosen.groupBy("id").agg(F.min_by(F.struct("n", F.col("grams").alias("keys")), F.struct("k1", "k2")).alias("s")).select("id", "s.n", "s.keys"), "reps")
     scratch.drop("sets", "classes")
-    roots = scratch.cut(reps.select("id", F.col("id").alias("comp")), "roots0")
-    count = max(1, partitions(spark) // 4)
-    at = 0
-
-    def by_block(rows: DataFrame, of, then) -> DataFrame:  # noqa: ANN001
-        """Counts of the fragments, summed by blocks of ids."""
-        return rows.groupBy("frag").applyInArrow(of, _PACKED).groupBy("block").applyInArrow(then, _LINK)
-
-    def contract(links: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-        """Roots after ``links``, and how many components met."""
-        u = roots.select(F.col("id"), F.col("comp").alias("u"))
-        v = roots.select(F.col("id").alias("other"), F.col("comp").alias("v"))
-        met = links.select("id", "other").join(u, "id").join(v, "other").select("u", "v")
-        stars = components(met, scratch, f"stars{at}_")
-        n = stars.count()
-        if not n:
-            return roots, 0
-        stars = stars.select(F.col("node").alias("comp"), "root")
-        return scratch.cut(roots.join(stars, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), f"roots{at + 1}"), n
-
-    def placed(ids: DataFrame) -> DataFrame:
-        """Sets of some ids with their components, as segments."""
-        return _segments(reps.join(ids.hint("merge"), "id").select("id", "comp", "n", "cutoff", "grams"), count)
-
-    none = F.lit(-1).cast("long").alias("cutoff")
-    if links:
-        alone = reps.select("id", F.col("id").alias("comp"), none)
-        rare = scratch.cut(by_block(placed(alone), _rarities(count), _cutoffs(part, whole)), "rare_links")
-        marked = alone.drop("cutoff").join(rare.select("id", F.col("other").alias("cutoff")), "id")
-        pairs = scratch.cut(by_block(placed(marked), _candidates(count, part, whole, False), _typed(_distinct)), "pairs_links")
-        proved = scratch.cut(by_block(placed(alone).unionByName(_to_fragments(pairs, count)), _overlaps(count), _reaching(part, whole)).where("other >= 0"), "proved")
-        copies = member.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
-        both = proved.select("id", "other").unionByName(proved.select(F.col("other").alias("id"), F.col("id").alias("other")))
-        far = both.join(copies.withColumnRenamed("rep", "other"), "other").groupBy(F.col("id").alias("rep")).agg(F.sum("copies").alias("far"))
-        per = copies.join(far, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
-        linked = scratch.cut(member.join(per, "rep").select("id", "links"), "links")
-    alive, whole_set = roots, reps.count()
-    while True:
-        found = scratch.cut(by_block(placed(alive.select("id", "comp", none)), _votes(count), _reaching(part, whole)), f"votes{at}")
-        roots, met = contract(found.where("other >= 0"), roots)
-        alive = roots.join(found.where("other < 0").select("id"), "id", "left_semi")
-        at += 1
-        if met * ROUND_PAYS < whole_set:
-            break
-    ids = scratch.cut(alive.select("id"), "alive")
-    for star in (True, False):  # stars first, so that a large group is one component before pairs are made
-        alive = scratch.cut(roots.join(ids, "id", "left_semi").select("id", "comp", none), f"alive{star}")
-        rare = scratch.cut(by_block(placed(alive), _rarities(count), _cutoffs(part, whole)), f"rare{star}")
-        marked = alive.drop("cutoff").join(rare.select("id", F.col("other").alias("cutoff")), "id", "left").na.fill(-1, ["cutoff"])
-        pairs = scratch.cut(by_block(placed(marked), _candidates(count, part, whole, star), _typed(_distinct)), f"pairs{star}")
-        ends = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-        rows = placed(alive.join(ends, "id", "left_semi")).unionByName(_to_fragments(pairs, count))
-        roots, _ = contract(by_block(rows, _overlaps(count), _reaching(part, whole)).where("other >= 0"), roots)
-        at += 1
-    # a component's id is the smallest document among its members
-    whole_comp = member.join(roots.select(F.col("id").alias("rep"), "comp"), "rep")
-    least = whole_comp.groupBy("comp").agg(F.min("id").alias("least"))
-    found = scratch.cut(whole_comp.join(least, "comp").groupBy("id").agg(F.min("least").alias("component")), "found")
-    out = sizes.join(found, "id", "left")
+    blocks = partitions(spark)
+
+    def fragments(rows: DataFrame) -> int:
+        return max(1, blocks // 4, (rows.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) // (8 * FRAGMENT_GRAMS))
+
+    def in_fragments(entries: DataFrame, width: int, allowed: Callable) -> DataFrame:
+        return entries.groupBy("frag").applyInArrow(_pairs(blocks, width, allowed), _PACKED).groupBy("block")
+
+    # pivots
+    count = fragments(reps)
+    packs = scratch.cut(_packs(reps, "id", "n"), "packs")
+    score = _ask(packs, 2, count, lambda p: [np.bincount(p.at, minlength=len(p.distinct))], ("sum",), _popularity, "id long, score long")
+    scored = scratch.cut(_packs(reps.join(score.hint("merge"), "id"), "id", "score"), "scored")
+    scratch.drop("packs")
+
+    def best(p: _Pack) -> list[np.ndarray]:
+        order = np.lexsort((p.heads[p.owner, 0], -p.heads[p.owner, 1], p.at))
+        lead = p.heads[p.owner[order[np.unique(p.at[order], return_index=True)[1]]]]
+        return [-lead[:, 1], lead[:, 0]]
+
+    choice = scratch.cut(_ask(scored, 2, count, best, ("first", "first"), _choice, "id long, choice long"), "choice")
+    scratch.drop("scored")
+    # a choice that has chosen another is followed once; what doesn't lead to a pivot stands alone
+    for k in range(2):
+        fan = choice.groupBy("choice").agg(F.count(F.lit(1)).alias("rows"))
+        of = fan.join(choice.select(F.col("id").alias("choice"), F.col("choice").alias("next")).hint("merge"), "choice")
+        step = F.col("next") if k == 0 else F.when(F.col("next") == F.col("choice"), F.col("choice")).otherwise(F.col("id"))
+        choice = scratch.cut(spread_join(choice, of, ["choice"], "rows", "id").select("id", step.alias("choice")), f"choice{k}")
+    scratch.drop("choice", "choice0")
+    fan = choice.where("id <> choice").groupBy(F.col("choice").alias("pivot")).agg(F.count(F.lit(1)).alias("rows"))
+    pivots = scratch.cut(fan.join(reps.select(F.col("id").alias("pivot"), F.col("keys").alias("pivot_keys")).hint("merge"), "pivot"), "pivots")
+    placed = reps.join(choice.select("id", F.col("choice").alias("pivot")).hint("merge"), "id")
+    diffs = scratch.cut(spread_join(placed, pivots, ["pivot"], "rows", "id").mapInArrow(_differences(part, whole), "id long, n long, pivot long, e long, keys binary"), "diffs")
+    scratch.drop("pivots", "choice1")
+
+    # pairs that link by their distances from the pivot meet in the nearest member
+    near = diffs.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("e", "id")).alias("m")).select("pivot", "rows", F.col("m.e").alias("m_e"), F.col("m.id").alias("m_id"))
+    homes = scratch.cut(spread_join(diffs.drop("keys"), near, ["pivot"], "rows", "id").select("id", "n", "pivot", "e", F.when(F.col("e") + F.col("m_e") <= 0, F.col("m_id")).otherwise(F.col("id")).alias("home")), "homes")
+    stars = homes.where("home <> id").select("id", F.col("home").alias("other"))
+    w = whole + part
+
+    # pairs of one pivot
+    hard = scratch.cut(_packs(diffs.where("octet_length(keys) > 0").join(homes.select("id", "home").hint("merge"), "id"), "id", "e", "home"), "hard_packs")
+    count = fragments(hard)
+
+    def shared_differences(p: _Pack, columns: np.ndarray) -> pa.RecordBatch:
+        some, _, s = p.ranked(columns[0], columns[0] > 1)
+        head = p.heads[p.owner[some]]
+        return _entries(p, some, count, head[:, 1], head[:, 2], s[p.owner[some]])
+
+    def same_pivot(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        need = a[2] + b[2]
+        return (need > 0) & (need <= 2 * w * np.minimum(a[4], b[4])) & (links | (a[3] != b[3])), need
+
+    entries = _ask(hard, 3, count, lambda p: [np.bincount(p.at, minlength=len(p.distinct))], ("sum",), shared_differences, "frag int, entries binary")
+    inner = scratch.cut(in_fragments(entries, 5, same_pivot).applyInArrow(_reaching(2 * w), "id long, other long"), "inner")
+    scratch.drop("hard_packs")
+
+    # pairs of different pivots
+    whole_sets = scratch.cut(_packs(reps.join(homes.select("id", "pivot").hint("merge"), "id"), "id", "n", "pivot"), "cross_packs")
+    count = fragments(reps)
+
+    def pivots_of(p: _Pack) -> list[np.ndarray]:
+        order = np.lexsort((p.heads[p.owner, 2], p.at))
+        pivot = p.heads[p.owner[order], 2]
+        first = np.unique(p.at[order], return_index=True)[1]
+        return [np.bincount(p.at, minlength=len(p.distinct)), pivot[first], pivot[np.append(first[1:], len(order)) - 1]] if len(order) else [first, pivot, pivot]
+
+    def rarest(p: _Pack, columns: np.ndarray) -> pa.RecordBatch:
+        some, at, s = p.ranked(columns[0], columns[1] != columns[2])
+        head = p.heads[p.owner[some]]
+        most = w * (s[p.owner[some]] - at) // part - head[:, 1]
+        ok = whole * most >= part * head[:, 1]
+        return _entries(p, some[ok], count, *head[ok, 1:].T, most[ok])
+
+    def different_pivot(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (a[3] != b[3]) & (a[2] <= b[4]) & (b[2] <= a[4]), a[2] + b[2]
+
+    entries = _ask(whole_sets, 3, count, pivots_of, ("sum", "min", "max"), rarest, "frag int, entries binary")
+    candidates = scratch.cut(in_fragments(entries, 5, different_pivot).applyInArrow(_reaching(1 << 62), "id long, other long"), "candidates")
+    scratch.drop("cross_packs")
+    sides = candidates.join(reps.select("id", F.col("keys").alias("a")).hint("merge"), "id").join(reps.select(F.col("id").alias("other"), F.col("keys").alias("b")).hint("merge"), "other")
+    outer = scratch.cut(sides.mapInArrow(_overlapping(part, whole), "id long, other long"), "outer")
+    scratch.drop("candidates", "reps", "diffs")
+
+    # components; a component's id is the smallest document among its members
+    proved = inner.unionByName(outer)
+    roots = components(stars.unionByName(proved).select(F.col("id").alias("u"), F.col("other").alias("v")), scratch)
+    roots = scratch.cut(homes.select("id").join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select(F.col("id").alias("rep"), F.coalesce("root", "id").alias("comp")), "roots")
+    copies = scratch.cut(member.groupBy("rep").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("least")), "copies")
+    least = copies.join(roots.hint("merge"), "rep").groupBy("comp").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("rows"))
+    per_rep = spread_join(roots, least, ["comp"], "rows", "rep").select("rep", F.col("least").alias("component")).join(copies.select("rep", "rows").hint("merge"), "rep")
     if links:
-        out = out.join(linked, "id", "left")
+        of = homes.join(copies.select(F.col("rep").alias("id"), F.col("rows").alias("copies")).hint("merge"), "id")
+        far = proved.unionByName(proved.select(F.col("other").alias("id"), F.col("id").alias("other")))
+        far = far.join(copies.select(F.col("rep").alias("other"), "rows").hint("merge"), "other").groupBy("id").agg(F.sum("rows").alias("far"))
+        # rows of the pivot whose e is at most x, for each x = -e: a running sum over a histogram of e
+        bars = of.groupBy("pivot", "e").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("rows"))
+        marks = bars.select("pivot", F.col("e").alias("x"), "c", F.lit(0).alias("rows")).unionByName(bars.select("pivot", (-F.col("e")).alias("x"), F.lit(0).alias("c"), "rows"))
+        upto = marks.groupBy("pivot", "x").agg(F.sum("c").alias("c"), F.sum("rows").alias("rows"))
+        upto = upto.select("pivot", "x", "rows", F.expr("sum(c) over (partition by pivot order by x rows between unbounded preceding and current row)").alias("within")).where("rows > 0")
+        close = spread_join(of.withColumn("x", -F.col("e")), upto, ["pivot", "x"], "rows", "id")
+        # the row itself is among them if its own e is not above 0
+        counted = close.join(far.hint("merge"), "id", "left").select(F.col("id").alias("rep"), (F.col("within") + F.when(F.col("e") > 0, F.col("copies")).otherwise(0) - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+        per_rep = per_rep.join(counted.hint("merge"), "rep")
+    per_rep = scratch.cut(per_rep, "per_rep")
+    found = spread_join(member, per_rep, ["rep"], "rows", "id")
+    found = scratch.cut(found.groupBy("id").agg(F.min("component").alias("component"), *([F.min("links").alias("links")] if links else [])), "found")
+    scratch.drop("homes", "inner", "outer", "roots", "copies", "per_rep", "member")
+    out = sizes.join(found.hint("merge"), "id", "left")
     return out.select(
         F.when(F.col("id") != null, F.col("id")).cast(kind).alias(id_col),
         F.col("n").alias("n_shingles"),
