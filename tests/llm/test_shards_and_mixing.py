@@ -1,8 +1,12 @@
 """K-d tree shards and soft-membership mixing."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +83,65 @@ def test_mix_meets_targets(spark):
     assert tokens["b"] == pytest.approx(0.75 * 1.2 * total, rel=0.01)
 
 
+def features(text):
+    """Distinct words and the mark runs at their ends."""
+    words = {w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w}
+    return words | {"\x01end " + w[len(w.rstrip(mixing.MARKS)) :] for w in words if w[-1] in mixing.MARKS}
+
+
+@pytest.mark.parametrize("most", [None, 1.0])
+def test_mix_against_numpy(spark, most):
+    """Posteriors and rates of a plain version: dictionaries for the counts, numpy for the steps."""
+    rnd = random.Random(9)
+    vocab = {"a": [f"a{k}" for k in range(30)], "b": [f"b{k}!" for k in range(30)], "c": [f"c{k}" for k in range(30)]}
+    both = [f"w{k}" for k in range(50)]
+    rows, known = [], {}
+    for i in range(240):
+        kind = rnd.choice("aab" if i % 5 else "bc")
+        n = rnd.randint(1, 40)
+        rows.append((i, " ".join(rnd.choice(vocab[kind] if rnd.random() < 0.3 else both) for _ in range(n)), 1, 2))
+        if i % 2:
+            known[i] = kind
+    rows += [(900, None, 1, 2), (901, "", 1, 2), (902, "a1 " * 3000, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tokens int, rate int")
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, kind string")
+    words = sorted(set().union(*(features(t) for _, t, *_ in rows)))
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"pmod(xxhash64(w), {mixing.BUCKETS}) as b").collect()}
+    own = {i: {bucket[w] for w in features(t)} for i, t, *_ in rows}
+    domains = sorted(set(known.values()))
+    counts = {d: Counter(b for i, k in known.items() if k == d for b in own[i]) for d in domains}
+    total = sum(counts.values(), Counter())
+    weight = {}
+    for d in domains:
+        mass, rest = sum(counts[d].values()), sum(total.values()) - sum(counts[d].values())
+        for b in total:
+            x, y = counts[d][b], total[b] - counts[d][b]
+            odds = math.log((x + mixing.SMOOTH) / (mass + 1)) - math.log((y + mixing.SMOOTH) / (rest + 1))
+            g2 = 2 * sum(n * math.log(n * (mass + rest) / (total[b] * m)) for n, m in ((x, mass), (y, rest)) if n)
+            weight[d, b] = odds * max(0.0, 1 - mixing.SHRINK**2 / max(g2, 1e-9)) / mixing.TEMPER
+    posterior = []
+    for i, *_ in rows:
+        score = [math.log((sum(k == d for k in known.values()) + 0.5) / (len(known) + 0.5 * len(domains))) + sum(weight.get((d, b), 0.0) for b in own[i]) for d in domains]
+        e = np.exp(np.array(score) - max(score))
+        posterior.append(e / e.sum())
+    p, t = np.array(posterior), np.array([len((x or "").split()) for _, x, *_ in rows], float)
+    share = np.array([0.5, 0.3, 0.2])
+    budget = 1.0 if most is None else min(1.0, *(p.T @ t * most / share / t.sum()))
+    goal = share * budget * t.sum()
+    inverse = np.linalg.inv(p.T @ (p * t[:, None]) + 1e-9 * t.sum() * np.eye(3))
+    rate, before = np.ones(len(t)), None
+    while True:
+        off = p.T @ (t * rate) - goal
+        worth = off @ inverse @ off
+        if np.abs(off).max() <= mixing.MISS * goal.sum() or before is not None and before - worth < mixing.GAIN * before:
+            break
+        before, rate = worth, np.clip(rate - p @ (inverse @ off), 0, most)
+    got = {r.doc_id: r for r in mixing.mix(docs, labels, F.col("kind"), dict(zip("abc", share, strict=True)), 1.0, most=most).collect()}
+    assert np.abs(np.array([got[i].posterior for i, *_ in rows]) - p).max() < 1e-9
+    assert np.abs(np.array([got[i].rate for i, *_ in rows]) - rate).max() < 1e-6
+    assert [got[i].tokens for i, *_ in rows] == t.tolist()
+
+
 def test_mix_edges(spark):
     docs, labels = labelled(spark, 20)
     odd = docs.unionByName(spark.createDataFrame([(None, None, 0, 0), (5, "", 0, 0), (5, "", 0, 0)], docs.schema))
