@@ -26,9 +26,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their fitted rates, without repeats: a rate of one or more keeps a document."""
-    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), q.domain(), q.TARGETS, q.BUDGET)
-    return docs.join(rates.where("copies > 0").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Documents drawn by rates of at most one, so that their tokens meet the target weights without repeats."""
+    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), q.domain(), q.KEPT_TARGETS, most=1.0)
+    return docs.join(rates.where("copies > 0").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
