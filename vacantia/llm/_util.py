@@ -50,23 +50,26 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread_join(many: DataFrame, few: DataFrame, keys: list[str], rows: str, by: str) -> DataFrame:
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], rows: str, by: str, dealt: bool = False) -> DataFrame:
     """Left join of ``many`` with the unique ``keys`` of ``few``, whatever share of the rows one key has.
 
-    ``few`` tells in ``rows`` how many rows of ``many`` have each key. Keys with more than one part in four
-    times the shuffle partitions are at most four times the partitions in number, so they are broadcast; their
-    rows are dealt by ``by`` and meet nothing in the sort-merge join that serves all other keys.
+    ``few`` (a written table) tells in ``rows`` how many rows of ``many`` have each key. Keys with more than one
+    part in four times the shuffle partitions are at most four times the partitions in number, so they are
+    broadcast; their rows are dealt by ``by`` and meet nothing in the sort-merge join that serves all other keys.
+    ``dealt`` keeps the columns that rows are dealt by (``_hot``, ``_key_...``), which tell groups of one key, or
+    of one key and ``by``.
     """
-    spark = many.sparkSession
-    most = 4 * partitions(spark)
+    most = 4 * partitions(many.sparkSession)
     bound = max(1, (few.agg(F.sum(rows)).first()[0] or 0) // most)
     told = [c for c in few.columns if c not in keys]
-    hot = few.where(F.col(rows) > bound).select(*[F.col(k) for k in keys], *[F.col(c).alias(f"_hot_{c}") for c in told], F.lit(True).alias("_hot"))
+    kinds = {k: many.schema[k].dataType for k in keys}
+    hot = few.where(F.col(rows) > bound).select(*keys, *[F.col(c).alias(f"_hot_{c}") for c in told], F.lit(True).alias("_hot"))
     tagged = many.join(F.broadcast(hot), keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    dealt = [F.when(F.col("_hot"), F.xxhash64(F.col(by), F.lit(k))).otherwise(F.col(k)).alias(f"_key_{k}") for k in keys]
-    cold = few.where(F.col(rows) <= bound).select(*[F.col(k).cast("long").alias(f"_key_{k}") for k in keys], *[F.col(c).alias(f"_cold_{c}") for c in told], F.lit(False).alias("_hot"))
-    joined = tagged.select("*", *dealt).join(cold.hint("merge"), ["_hot", *[f"_key_{k}" for k in keys]], "left")
-    return joined.select(*many.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in told])
+    spread = [F.when(F.col("_hot"), F.xxhash64(F.col(by), F.lit(k)).cast("string").cast(kinds[k])).otherwise(F.col(k)).alias(f"_key_{k}") for k in keys]
+    cold = few.where(F.col(rows) <= bound).select(*[F.col(k).cast(kinds[k]).alias(f"_key_{k}") for k in keys], *[F.col(c).alias(f"_cold_{c}") for c in told], F.lit(False).alias("_hot"))
+    at = ["_hot", *[f"_key_{k}" for k in keys]]
+    joined = tagged.select("*", *spread).join(cold.hint("merge"), at, "left")
+    return joined.select(*many.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in told], *(at if dealt else []))
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.llm._util import Scratch, spread_join
+
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -24,36 +26,40 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, keep: str, columns: list[Column]) -> DataFrame:
+    """Rows with their class, and in ``_n`` their turn among rows of one class and id, the row that stays first.
+
+    A class that holds a large share of all rows is dealt by id, so no task gets it whole.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*columns, F.col(id_col).alias("_id"), F.unhex(F.md5(text)).alias("_h"), F.sha2(text, 256).alias("_s"))
-    return rows.join(exact_classes(docs, id_col, text_col, keep), ["_h", "_s"], "left")
+    classes = Scratch(docs.sparkSession).cut(exact_classes(docs, id_col, text_col, keep), "classes")
+    rows = spread_join(rows, classes, ["_h", "_s"], "group_size", "_id", dealt=True)
+    stays = F.col("group_size").isNull() | F.col("_id").eqNullSafe(F.col("keep_id"))
+    turn = F.row_number().over(Window.partitionBy("_hot", "_key__h", "_key__s").orderBy(F.desc("_stays"), "_id"))
+    return rows.withColumn("_stays", stays).withColumn("_n", F.when(F.col("group_size").isNull(), 1).otherwise(turn))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of equal texts the row with the smallest (``keep="max"``: largest) id stays. Rows that repeat both id
-    and text tie; exactly one of them is kept. Null texts equal empty ones. Other columns are ignored.
+    and text tie; exactly one of them is kept. Null texts equal empty ones; null ids stay only where a class has no
+    other. Texts of any length are read whole. Other columns are ignored, whatever their names; an empty table
+    gives no rows.
     """
     rows = _labelled(docs, id_col, text_col, keep, [])
     alone = F.col("group_size").isNull()
-    rows = rows.select(
-        "_h",
-        "_id",
+    return rows.select(
+        F.col("_id").alias(id_col),
         F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("_stays") & (F.col("_n") == 1)).alias("kept"),
         F.col("_s").alias("text_sha256"),
     )
-    # dealt by hash and id, so that a hot class spreads over all tasks
-    turn = F.row_number().over(Window.partitionBy("_h", "_id").orderBy("text_sha256"))
-    rows = rows.repartition("_h", "_id").withColumn("_n", turn)
-    return rows.select(F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == 1)).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay (see ``exact_dedup``), with all their columns."""
     names = docs.columns
     kept = _labelled(docs, id_col, text_col, keep, [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")])
-    kept = kept.where(F.col("group_size").isNull() | F.col("_id").eqNullSafe(F.col("keep_id")))
-    kept = kept.withColumn("_n", F.when(F.col("group_size").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("_h", "_s", "_id").orderBy("_id"))))
-    return kept.where("_n = 1").select("_row.*")
+    return kept.where("_stays and _n = 1").select("_row.*")
