@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -53,6 +54,37 @@ def test_passage_attention_sums_to_one():
     assert np.allclose(np.add.reduceat(f["a"], starts), 1)
 
 
+def test_forward_and_gradient_against_plain_version():
+    """One bag at a time by loops, and the first step's direction by differences."""
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["alpha", "Beta,", "| x", "9", "é"]) for _ in range(rnd.randint(0, 300))) for _ in range(8)]
+    labels = [i % 2 for i in range(8)]
+    model = quality.fit(texts, labels, epochs=3)
+    x, counts = quality.passages(*text_buffer(pa.array(texts)))
+    x = (x - model.mean) / model.std
+    got = model.forward(x, counts)["y"]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for i, (a, n) in enumerate(zip(np.cumsum(counts) - counts, counts, strict=True)):
+        h = [np.tanh(r @ model.p["E"] + model.p["e"]) for r in x[a : a + n]]
+        score = [float(np.tanh(v @ model.p["V"]) * sig(v @ model.p["U"]) @ model.p["w"]) for v in h]
+        w = np.exp(score) / np.exp(score).sum()
+        assert got[i] == pytest.approx(float(sig(sum(k * v for k, v in zip(w, h, strict=True)) @ model.p["c"] + model.p["b"])))
+    # Adam's first step moves every weight by the rate against the sign of its gradient
+    before, after = quality.fit(texts, labels, epochs=0), quality.fit(texts, labels, epochs=1, decay=0.0)
+    y = np.array(labels)
+    loss = lambda m: -np.mean(y * np.log(m.forward(x, counts)["y"]) + (1 - y) * np.log(1 - m.forward(x, counts)["y"]))
+    for name in ("E", "V", "U", "w", "c"):
+        flat, moved = before.p[name].reshape(-1), after.p[name].reshape(-1)
+        for k in range(0, flat.size, max(1, flat.size // 6)):
+            kept, eps = flat[k], 1e-5
+            flat[k] = kept + eps
+            up = loss(before)
+            flat[k] = kept - eps
+            slope, flat[k] = (up - loss(before)) / (2 * eps), kept
+            if abs(slope) > 1e-6:
+                assert moved[k] - kept == pytest.approx(-0.01 * np.sign(slope), rel=0.05)
+
+
 def test_constant_labels():
     data, offsets = text_buffer(pa.array(["x"]))
     assert quality.fit(["a", "b"], [1, 1]).score(data, offsets)[0][0] > 0.9
@@ -73,6 +105,36 @@ def test_language_model_is_a_distribution():
         assert (total > 0.98).all()
 
 
+def test_kneser_ney_against_plain_version():
+    """Interpolated Kneser-Ney by dictionaries, for one language's trigrams, seen and unseen."""
+    rnd = random.Random(12)
+    texts = [prose(rnd, "abcd", 12) for _ in range(30)] + [prose(rnd, "bcde", 12) for _ in range(30)]
+    model = langid.fit(texts, ["x"] * 30 + ["y"] * 30, calibrate=0.5)
+    train = [t for i, t in enumerate(texts[:30]) if i % 2 == 0]
+    plain = ["  " + "".join(c if c.isalpha() else " " for c in t.lower()) + " " for t in train]
+    plain = ["  " + re.sub(" +", " ", t.strip()) + " " for t in plain]
+    tri = Counter(t[k : k + 3] for t in plain for k in range(len(t) - 2))
+    other = {t[k : k + 3] for i, u in enumerate(texts[30:]) if i % 2 == 0 for t in ["  " + re.sub(" +", " ", re.sub(r"[^a-z]", " ", u.lower()).strip()) + " "] for k in range(len(t) - 2)}
+    bi, d = Counter(g[1:] for g in tri), langid.DISCOUNT
+    uni = Counter(g[1] for g in bi)
+    alphabet = len({g[2] for g in set(tri) | other}) + 1
+
+    def p1(c):
+        return max(uni[c] - d, 0) / sum(uni.values()) + d * len(uni) / sum(uni.values()) / alphabet
+
+    def p2(b, c):
+        own = {g: n for g, n in bi.items() if g[0] == b}
+        return max(bi[b + c] - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * p1(c) if own else p1(c)
+
+    def p3(a, b, c):
+        own = {g: n for g, n in tri.items() if g[:2] == a + b}
+        return max(tri[a + b + c] - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * p2(b, c) if own else p2(b, c)
+
+    for g in ("abc", "bca", " ab", "dd ", "aae", "eab", "cd "):
+        got = model.log_probs(np.array([ord(c) for c in g], np.uint64))[0][0]
+        assert got == pytest.approx(math.log(p3(*g)), abs=1e-4)
+
+
 def test_language_held_out(spark):
     rnd = random.Random(4)
     rows = [(i, prose(rnd, ("abcde", "fghab", "abxyz")[i % 3], 25), "xyz"[i % 3], 0.5) for i in range(240)]
@@ -113,6 +175,21 @@ def test_marginals_equal_brute_force():
     assert (expected * np.array([len(n) for n in names])).sum() == pytest.approx(sum(len(w) + 1 for w in words))
 
 
+def test_long_words_in_blocks(monkeypatch):
+    """A word solved block by block has the marginal and the expected pieces that it has whole."""
+    rnd = random.Random(8)
+    names, p = lattice.vocabulary(q.piece_model())
+    model = lattice.build(names, p, 0.01)
+    words = ["".join(rnd.choice("abcdeéñ") for _ in range(n)).encode() for n in (3, 400, 901, 256, 1500)] + [b"the" * 300]
+    data, offsets = lattice._marked(words)
+    weight = np.arange(1.0, len(words) + 1)
+    want = model.solve(data, offsets, weight)
+    monkeypatch.setattr(lattice, "LONG", 128)
+    got = model.solve(data, offsets, weight)
+    assert got[0] == pytest.approx(want[0])
+    assert np.allclose(got[1], want[1])
+
+
 def test_scores_equal_brute_force(spark):
     rnd = random.Random(6)
     rows = [(i, prose(rnd, "abcde", rnd.randint(0, 40)), 1) for i in range(80)] + [(100, None, 1), (101, "", 1), (102, "NEW Words new", 1), (103, "q" * 50_000, 1), (104, "a\tb", 1)]
@@ -128,6 +205,18 @@ def test_scores_equal_brute_force(spark):
         assert got[i].base_score == pytest.approx(sum(score(count[w]) for w in ws) + score(n_docs))
         assert got[i].score <= 0 and math.isfinite(got[i].score)
     by_words = lambda i: got[i].score - got[101].score
+    assert got[101].score == pytest.approx(score(n_docs))
+    assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values()) - 50_000 * 8
+    # a word is its own edge and its pieces: all pieces fitted by one pass over the training words
+    names, p = lattice.vocabulary(q.piece_model())
+    known = sorted(count)
+    fitted = lattice.build(names, p, 0.01).solve(*lattice._marked(known), np.array([count[w] for w in known], float))[1]
+    p = (np.round(fitted, 6) + 100 * p) / (fitted.sum() + 100)
+    model = lattice.build(names, p / p.sum(), n_docs / (n_docs + fitted.sum() + 1))
+    for i in (3, 17, 102, 104):
+        z = model.solve(*lattice._marked(words[i]))[0]
+        want = sum(math.log10(count[w] / (total + distinct) + distinct / (total + distinct) * math.exp(x)) for w, x in zip(words[i], z, strict=True))
+        assert by_words(i) == pytest.approx(want, rel=1e-5)
     assert by_words(104) < 0
     assert lattice.score_texts(docs.limit(0), q.piece_model(), F.lit(True)).count() == 0
 

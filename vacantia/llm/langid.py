@@ -211,8 +211,10 @@ def sample_labelled(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, int(1_000_000 * per_lang / n)))])
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")]).limit(2 * per_lang * len(counts)).select("text", "lang").toArrow()
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))])
+    order = F.xxhash64("id", F.lit("lang"))
+    chosen = rows.where((order / float(1 << 63) + 1.0) / 2.0 < share[F.col("lang")])
+    picked = chosen.orderBy(order, "id", F.xxhash64("text")).limit(2 * per_lang * len(counts)).select("text", "lang").toArrow()
     both = sorted(zip(picked.column("lang").to_pylist(), picked.column("text").to_pylist(), strict=True))
     return [t for _, t in both], [lang for lang, _ in both]
 

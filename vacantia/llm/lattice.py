@@ -3,11 +3,14 @@
 The pieces of an existing vocabulary weigh all segmentations of a text; the forward recursion in log space
 gives the marginal probability over them. Pieces don't cross words, so a text's likelihood is a sum over
 its words, and a word is solved once. The vocabulary's own scores are the start; one pass of expectation
-maximisation over all training words fits them to the corpus.
+maximisation over all training words fits them to the corpus. A word that the training rows hold is one more edge
+of its lattice, from end to end: with c its count, N all tokens and V the distinct ones, its probability is
+c / (N + V) + V / (N + V) times the marginal of its pieces (Witten and Bell's weights).
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +26,10 @@ from vacantia.llm._util import Scratch, column, lower_ascii, partitions, slices,
 MARK = b" "
 #: Bytes of text a task takes at once for the join, and distinct words it counts before it sends them on.
 SLICE, DISTINCT = 3 << 20, 200_000
+#: A word of more bytes is solved alone, in blocks of that many.
+LONG = 1 << 16
+#: Text bytes that one fragment of the word order stands for, on average.
+FRAGMENT_BYTES = 32 << 20
 #: Share of the probability that goes to bytes, so that any text has a segmentation.
 BYTES = 0.02
 
@@ -62,6 +69,11 @@ class Lattice:
         size = np.diff(offsets)
         order = np.argsort(size, kind="stable")
         at = 0
+        lengthy = order[size[order] > LONG]
+        n -= len(lengthy)
+        order = order[:n]
+        for w in lengthy:
+            out[w] = self._solve_long(data[offsets[w] : offsets[w + 1]], weight[w] if weight is not None else 0.0, expected)
         while at < n:
             longest = int(size[order[min(n - 1, at + 4095)]])
             take = order[at : at + max(1, min(4096, (1 << 20) // max(1, longest)))]
@@ -104,6 +116,45 @@ class Lattice:
                 expected += np.bincount(ids, share, self.size)
         return out, expected
 
+    def _ends(self, data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends, log probabilities and ids of all pieces within ``data[low:high]``."""
+        found = [(s + low, s + low + k, lp, ids) for k, s, lp, ids in self.edges(data[low:high], np.array([0, high - low]))]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _solve_long(self, data: np.ndarray, weight: float, expected: np.ndarray | None) -> float:
+        """The log marginal of one word, whose pieces are looked up block by block; adds expected counts."""
+        n, reach = len(data), max(self.lengths)
+
+        def recur(to: np.ndarray, known: np.ndarray, lp: np.ndarray, first: int, last: int, step: int, value: np.ndarray) -> None:
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(min(first, last), max(first, last) + 2))
+            known, lp = known[order].tolist(), lp[order].tolist()
+            for j in range(first, last + step, step):
+                a, b = cut[j - min(first, last)], cut[j - min(first, last) + 1]
+                terms = [value[known[k]] + lp[k] for k in range(a, b)]
+                top = max(terms, default=-math.inf)
+                if top > -math.inf:
+                    value[j] = top + math.log(sum(math.exp(t - top) for t in terms))
+
+        alpha = np.full(n + 1, -np.inf)
+        alpha[0] = 0
+        for low in range(0, n, LONG):
+            high = min(n, low + LONG)
+            starts, ends, lp, _ = self._ends(data, max(0, low - reach), high)
+            new = ends > low
+            recur(ends[new], starts[new], lp[new], low + 1, high, 1, alpha)
+        if expected is not None and weight:
+            beta = np.full(n + 1, -np.inf)
+            beta[n] = 0
+            for low in reversed(range(0, n, LONG)):
+                high = min(n, low + LONG)
+                starts, ends, lp, ids = self._ends(data, low, min(n, high + reach))
+                new = starts < high
+                starts, ends, lp, ids = starts[new], ends[new], lp[new], ids[new]
+                recur(starts, ends, lp, high - 1, low, -1, beta)
+                expected += np.bincount(ids, np.exp(alpha[starts] + lp + beta[ends] - alpha[n]) * weight, self.size)
+        return float(alpha[n])
+
 
 def vocabulary(model_file: str) -> tuple[list[bytes], np.ndarray]:
     """Byte strings of the vocabulary's pieces (the space mark as one byte) and probabilities from its scores.
@@ -187,14 +238,20 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of words, bounded in bytes and rows."""
+    for part in slices(batch, "word"):
+        for at in range(0, part.num_rows, 50_000):
+            yield part.slice(at, 50_000)
+
+
 def _expected(lattice: Lattice, words: DataFrame) -> DataFrame:
     shared = words.sparkSession.sparkContext.broadcast(lattice)  # bounded by the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shared.value.size)
         for batch in batches:
-            for at in range(0, batch.num_rows, 50_000):
-                part = batch.slice(at, 50_000)
+            for part in _bounded(batch):
                 total += shared.value.solve(*_marked(column(part, "word").to_pylist()), column(part, "c").to_numpy(zero_copy_only=False).astype(float))[1]
         some = np.flatnonzero(total)
         if len(some):
@@ -222,8 +279,7 @@ def _vocabulary_rows(words: DataFrame, lattice: Lattice, fragments: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100_000):
-                part = batch.slice(at, 100_000)
+            for part in _bounded(batch):
                 data, offsets = _marked(column(part, "word").to_pylist())
                 z, _ = shared.value.solve(data, offsets)
                 hashes = span_hashes(data, offsets[:-1] + 1, offsets[1:])
@@ -291,6 +347,9 @@ def _join_fragment(n_train: int, distinct: int, batches: Iterator[pa.RecordBatch
     count = np.concatenate([v[1] for v in vocabulary])[order] if vocabulary else np.zeros(0, np.int64)
     z = np.concatenate([v[2] for v in vocabulary])[order] / np.log(10) if vocabulary else np.zeros(0)
     base = np.log10((count + 0.1) / (n_train + 0.1 * (distinct + 1)))
+    if n_train:
+        with np.errstate(divide="ignore"):
+            z = np.logaddexp(np.log(count / (n_train + distinct)), np.log(distinct / (n_train + distinct)) + z * np.log(10)) / np.log(10)
     for owner, ids, hs, posting, doc, times in waiting:
         n = len(ids) // 16 if len(ids) > 8 or not len(ids) else int.from_bytes(ids, "little")
         at = np.repeat(np.searchsorted(hashes, np.frombuffer(hs, np.uint64)), np.frombuffer(posting, np.uint16))
@@ -315,10 +374,12 @@ def score_texts(docs: DataFrame, model_file: str, train: Column, id_col: str = "
     """Per row: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Tokens are the words of the text (A-Z lowered) and one end. ``base_score`` is the add-0.1 unigram model of
-    words, ``score`` the lattice's, both in log10 and learned from rows where ``train`` holds. All words of the
-    corpus are counted and solved; documents meet their words in fragments of the hash order, where each
-    slice of documents gets its sums. Null texts count as empty (the end alone), null ids are kept, an
-    empty table gives no rows.
+    words, ``score`` the lattice's with its whole words, both in log10 and learned from rows where ``train`` holds;
+    the end has the same probability in both. All words of the corpus are counted and solved; documents meet
+    their words in fragments of the hash order, whose number follows the bytes of the text, and each slice of
+    documents gets its sums. Null texts count as empty (the end alone), null ids are kept, repeated rows get equal
+    results, texts of any length are read whole (a word of more than ``LONG`` bytes is solved in blocks, its memory
+    16 bytes a byte), other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -329,7 +390,8 @@ def score_texts(docs: DataFrame, model_file: str, train: Column, id_col: str = "
         raise TypeError("ids must be whole numbers")
     words = scratch.cut(count_words(base), "words")
     totals = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    n_docs = base.where("train").count()
+    size = base.agg(F.count_if("train").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_docs = size["n"]
     n_train = int(totals["n"] or 0) + n_docs
     distinct = int(totals["v"] or 0) + (1 if n_docs else 0)
     names, probability = vocabulary(model_file)
@@ -343,7 +405,7 @@ def score_texts(docs: DataFrame, model_file: str, train: Column, id_col: str = "
         probability /= probability.sum()
     end = max(n_docs, 1) / (max(n_docs, 1) + fitted.sum() + 1)
     lattice = build(names, probability, end)
-    fragments = partitions(spark)
+    fragments = max(partitions(spark), (size["bytes"] or 0) // FRAGMENT_BYTES)
     null_id = -(1 << 63)
     numbered = base.select(F.coalesce(F.col("id").cast("long"), F.lit(null_id)).alias("row"), "text")
     packed = _vocabulary_rows(words, lattice, fragments).unionByName(_document_rows(numbered, fragments))
@@ -361,5 +423,5 @@ def score_texts(docs: DataFrame, model_file: str, train: Column, id_col: str = "
         (F.col("known") + F.lit(1 if n_docs else 0)).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.lit(end_base)).alias("base_score"),
-        (F.col("lattice") + F.lit(float(lattice.end / np.log(10)))).alias("score"),
+        (F.col("lattice") + F.lit(end_base if n_docs else float(lattice.end / np.log(10)))).alias("score"),
     )
