@@ -130,6 +130,12 @@ def title_case(text: pd.Series) -> pd.Series:
     return text.map(str.title, na_action="ignore")
 
 
+def plain_ngrams(tokens: Column, n: int) -> Column:
+    """The ``n``-grams of an array of tokens, joined by spaces."""
+    one = lambda t: lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)])
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), one(t))).otherwise(F.array().cast("array<string>")))
+
+
 def ngrams(c: Column, most: int) -> Column:
     """Structs (ngram, start, end, size) of all token n-grams of a text with single spaces."""
 

@@ -80,11 +80,24 @@ def non_overlapping(matches: DataFrame, doc: str = "doc_id", start: str = "start
 
 
 def drop_contained(candidates: DataFrame, doc: str = "doc_id", ngram: str = "ngram") -> DataFrame:
-    """Candidates that are no substring, with all their words, of a longer candidate of the document."""
-    longer = candidates.groupBy(doc).agg(F.collect_set(ngram).alias("_all"))
-    words = lambda c: F.split(c, " ")
-    inside = F.exists("_all", lambda o: (o != F.col(ngram)) & F.contains(o, F.col(ngram)) & (F.size(F.array_except(words(F.col(ngram)), words(o))) == 0))
-    return candidates.join(longer, doc).where(~inside).drop("_all")
+    """Candidates (of three words at most) that are no substring, with all their words, of another of the document.
+
+    Each candidate names what it could contain: the one to three of its own words, in any order, that are a
+    substring of it; these are taken away as a set, without pairs of candidates. A group is the candidates of
+    one document.
+    """
+    rows = candidates.groupBy(doc).agg(F.collect_list(F.struct(*[c for c in candidates.columns if c != doc])).alias("_all"))
+
+    def inner(o: Column) -> Column:
+        w = F.array_distinct(F.split(o, " "))
+        two = F.flatten(F.transform(w, lambda a: F.transform(w, lambda b: F.concat_ws(" ", a, b))))
+        three = F.flatten(F.transform(two, lambda a: F.transform(w, lambda b: F.concat_ws(" ", a, b))))
+        return F.filter(F.concat(w, two, three), lambda c: (c != o) & F.contains(o, c))
+
+    names = F.filter(F.transform("_all", lambda x: x[ngram]), lambda c: F.contains(c, F.lit(" ")))
+    gone = F.array_distinct(F.flatten(F.transform(names, inner)))
+    kept = rows.select(doc, "_all", F.array_intersect(F.transform("_all", lambda x: x[ngram]), gone).alias("_gone"))
+    return kept.select(doc, F.explode(F.filter("_all", lambda x: ~F.array_contains("_gone", x[ngram]))).alias("_row")).select(doc, "_row.*").select(*candidates.columns)
 
 
 def chunks(rows: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:

@@ -10,17 +10,33 @@ from vacantia.functions.text import let
 TOKEN = r"[\p{L}\p{N}_][\p{L}\p{N}_#+\-.]*"
 
 
-def terms(docs: DataFrame, most: int = 3, stopwords: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc``, ``term``, ``tf``: n-grams of the tokens that are no stop words, counted in each document."""
+def _grams(docs: DataFrame, most: int, stopwords: tuple[str, ...], id_col: str, text_col: str) -> DataFrame:
+    """``doc`` and ``term``, a row for each n-gram; rows are dealt by document before they multiply."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"({TOKEN})"), 1)
     if stopwords:
         tokens = F.filter(tokens, lambda t: ~t.isin(*stopwords))
 
     def grams(t: Column, n: int) -> Column:
-        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+        one = lambda i: F.concat_ws(" ", *[F.get(t, i + k) for k in range(n)])
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), one)).otherwise(F.array().cast("array<string>"))
+
+    every = let(tokens, lambda t: F.concat(t, *[grams(t, n) for n in range(2, most + 1)]))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col)).repartition("doc")
+    return rows.select("doc", F.explode(every).alias("term"))
+
+
+def terms(docs: DataFrame, most: int = 3, stopwords: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc``, ``term``, ``tf``: n-grams of the tokens that are no stop words, counted in each document.
+
+    The text is shuffled, not its n-grams: rows dealt by document are counted where they are.
+    """
+    return _grams(docs, most, stopwords, id_col, text_col).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
-    every = let(tokens, lambda t: F.flatten(F.array(*[grams(t, n) for n in range(1, most + 1)])))
-    return docs.select(F.col(id_col).alias("doc"), F.explode(every).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+def terms_of(docs: DataFrame, vocab: DataFrame, most: int = 3, stopwords: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``terms`` of a vocabulary of a stated size, which is broadcast, so that other n-grams are never counted."""
+    rows = _grams(docs, most, stopwords, id_col, text_col).join(F.broadcast(vocab.select("term")), "term", "left_semi")
+    return rows.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tf: DataFrame, n_docs: int, least: int = 2, share: float = 0.3, features: int | None = None) -> DataFrame:
@@ -34,11 +50,11 @@ def vocabulary(tf: DataFrame, n_docs: int, least: int = 2, share: float = 0.3, f
     return v.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``doc``, ``term``, ``score``, unit length per document."""
-    raw = tf.join(vocab, "term").select("doc", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("score"))
+def weights(tf: DataFrame, vocab: DataFrame, bounded: bool = False) -> DataFrame:
+    """``doc``, ``term``, ``score``, unit length per document; a ``bounded`` vocabulary is broadcast."""
+    raw = tf.join(F.broadcast(vocab) if bounded else vocab, "term").select("doc", "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.select("doc", "term", (F.col("w") / norm).alias("score"))
 
 
 def confidence(term: Column, score: Column, indicators: tuple[str, ...] = (), ambiguous: tuple[str, ...] = ()) -> Column:

@@ -136,8 +136,8 @@ _WORDS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_]+'), lambd
 def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     """Word bigrams that occur twenty times or more."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    rows = _docs(spark, d).select(F.explode(T.ngrams(F.array_join(words, " "), 2)).alias("g")).where("g.size = 2")
-    return rows.groupBy(F.col("g.ngram").alias("ngram")).agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    rows = _docs(spark, d).select(F.explode(T.plain_ngrams(words, 2)).alias("ngram"))
+    return rows.groupBy("ngram").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 
 
 @register("""WITH t AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS w FROM benchmark), tf AS (SELECT item_id AS doc, u AS term, count(*) AS tf FROM (SELECT item_id, unnest(w) AS u FROM t) GROUP BY 1, 2),
@@ -155,8 +155,8 @@ def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
     """Skills by TF-IDF: scores, confidence, noise filter, contained n-grams dropped, as many as the length allows."""
     docs = _docs(spark, d)
-    tf = tfidf.terms(docs, most=3)
-    scored = tfidf.weights(tf, tfidf.vocabulary(tf, docs.count(), features=5000)).withColumn("confidence", tfidf.confidence(F.col("term"), F.col("score"), rules.ENTITY_WORDS))
+    vocab = tfidf.vocabulary(tfidf.terms(docs, most=3), docs.count(), features=5000)
+    scored = tfidf.weights(tfidf.terms_of(docs, vocab, most=3), vocab, bounded=True).withColumn("confidence", tfidf.confidence(F.col("term"), F.col("score"), rules.ENTITY_WORDS))
     kept = scored.where(F.length("term").between(2, 50) & ~rules.ngram_noise(F.col("term")) & (F.col("confidence") >= 0.08))
     kept = selection.drop_contained(kept.withColumnRenamed("term", "ngram"), "doc").withColumnRenamed("ngram", "term")
     return tfidf.top_terms(kept, docs.select(F.col("doc_id").alias("doc"), T.word_count("text").alias("words")))
