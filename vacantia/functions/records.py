@@ -75,7 +75,7 @@ def yearly_pay(transparent: Column, low: Column, high: Column, currency: Column)
 def requirements(text: Column) -> Column:
     """Sentences that begin with or hold a requirement word, sorted, joined by ``; ``."""
     t = F.coalesce(text, F.lit(""))
-    starts = F.regexp_extract_all(t, F.lit("(?iU)((?:" + "|".join(REQUIREMENT_STARTS) + r")[^.]*(?:\.|$))"), 1)
+    starts = F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(f"(?iU)({p}" + r"[^.]*(?:\.|$))"), 1) for p in REQUIREMENT_STARTS]))
     sentences = F.filter(F.transform(F.split(t, "[.!?]"), lambda s: F.trim(s)), lambda s: s.rlike("(?iU)" + "|".join(REQUIREMENT_PHRASES)))
     every = F.array_union(F.transform(starts, lambda s: F.trim(s)), sentences)
     return F.array_join(F.array_sort(F.filter(every, lambda s: F.length(s) > 10)), "; ")

@@ -34,9 +34,13 @@ def exact(skills: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def manual(skills: DataFrame, taxonomy: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``mapping``: skill, target, confidence; the target is part of a label, the shortest such label wins."""
-    wanted = skills.join(mapping.select("skill", F.lower("target").alias("target"), "confidence"), "skill")
-    found = wanted.join(_labels(taxonomy), F.expr("contains(key, target)"))
+    """``mapping``: skill, target, confidence; the target is part of a label, the shortest such label wins.
+
+    A label that holds the target holds its first three characters, on which both sides join.
+    """
+    wanted = skills.join(mapping.select("skill", F.lower("target").alias("target"), "confidence").where("target <> ''"), "skill").withColumn("piece", F.substring("target", 1, 3))
+    pieces = _labels(taxonomy).withColumn("t", F.col("key")).withColumn("piece", F.explode(F.expr(_pieces("array(1, 2, 3)")))).drop("t")
+    found = wanted.join(pieces, "piece").where(F.contains("key", "target")).drop("piece")
     w = Window.partitionBy("skill").orderBy(F.length("key"), "skill_uri")
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("skill", "skill_uri", "label", "confidence", F.lit("manual_dict").alias("method"))
 

@@ -35,7 +35,10 @@ def normalized_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return dedup.mark_normalised(rows, "doc_id", "title", "text").select("doc_id", "is_duplicate", "duplicate_of")
 
 
-@register(r"""SELECT doc_id, CASE WHEN length(trim(text)) < 50 THEN true WHEN regexp_matches(lower(source), '^src1$') THEN false ELSE false END AS is_junk, CASE WHEN length(trim(text)) < 50 THEN 'Empty or extremely short description' END AS reason FROM documents""")
+_JUNK = " ".join(f"WHEN regexp_matches(lower(trim(source)), '{p}') THEN 'Test job pattern: {p}'" for p in rules.JUNK_TITLES)
+
+
+@register(f"WITH r AS (SELECT doc_id, CASE WHEN length(trim(text)) < 50 THEN 'Empty or extremely short description' {_JUNK} END AS reason FROM documents) SELECT doc_id, reason IS NOT NULL AS is_junk, reason FROM r")
 def junk_flags(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", rules.junk(F.col("source"), F.col("text")).alias("j")).select("doc_id", "j.is_junk", "j.reason")
 
@@ -63,7 +66,7 @@ def seniority_class(spark: SparkSession, d: str) -> DataFrame:
 _ROLE = " ".join(f"WHEN {_any_sql(words, 't')}" + (f" OR ({_any_sql(rules.FRONTEND_WORDS, 't')} AND NOT contains(t, 'backend'))" if name == "frontend" else "") + f" THEN '{name}'" for name, words in rules.ROLES)
 
 
-@register(f"WITH t AS (SELECT doc_id, lower(source || ' ' || text) AS t FROM documents) SELECT doc_id, CASE WHEN {_any_sql(rules.MOBILE_TEXT, 't')} THEN 'mobile' {_ROLE} ELSE 'other' END AS role FROM t")
+@register(f"WITH t AS (SELECT doc_id, lower(source) AS s, lower(source || ' ' || text) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(s, '{rules.MOBILE_TITLE}') OR {_any_sql(rules.MOBILE_TEXT, 't')} THEN 'mobile' {_ROLE} ELSE 'other' END AS role FROM t")
 def role_class(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", rules.role(F.col("source"), F.col("text")).alias("role"))
 
@@ -79,12 +82,17 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", rules.quality_score(F.col("source"), F.col("text"), F.col("lang")).alias("score"))
 
 
-@register("SELECT skill_text, CASE WHEN contains(lower(skill_text), 'go') THEN 'languages' WHEN contains(lower(skill_text), 'db') THEN 'databases' ELSE 'other' END AS class FROM (SELECT DISTINCT p_name AS skill_text FROM part)")
+_CLASS = " ".join(f"WHEN {_any_sql(words, 't')} THEN '{name}'" for name, words in rules.SKILL_CLASSES)
+
+
+@register(f"WITH s AS (SELECT DISTINCT p_name AS skill_text, lower(p_name) AS t FROM part UNION SELECT DISTINCT w, lower(w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)) SELECT skill_text, CASE {_CLASS} ELSE 'other' END AS class FROM s")
 def skill_classes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_name").alias("skill_text")).distinct().withColumn("class", rules.skill_class(F.col("skill_text")))
+    words = _docs(spark, d).select(F.explode(F.split("text", " ")).alias("skill_text"))
+    return table(spark, d, "part").select(F.col("p_name").alias("skill_text")).unionByName(words).distinct().withColumn("class", rules.skill_class(F.col("skill_text")))
 
 
-@register()
+@register(f"""WITH h AS (SELECT doc_id, substring(lower(text), 1, 2000) AS h FROM documents), n AS (SELECT doc_id, len(regexp_extract_all(h, '{rules.SPANISH}')) AS es, len(regexp_extract_all(h, '{rules.ENGLISH}')) AS en FROM h)
+SELECT doc_id, CASE WHEN es > 2 * en THEN 'es' WHEN en > 2 * es THEN 'en' ELSE 'mixed' END AS language FROM n""")
 def language_rule(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", rules.language(F.col("text")).alias("language"))
 
@@ -188,6 +196,6 @@ def ngram_dictionary(spark: SparkSession, d: str) -> DataFrame:
 def dictionary_skills(spark: SparkSession, d: str) -> DataFrame:
     """Labels made of the first words of the benchmark items, found in documents, without overlaps."""
     words = F.split(T.matching_form("text"), " ")
-    labels = table(spark, d, "benchmark").select("item_id", F.explode(F.array(*[F.array_join(F.slice(words, 1, n), " ") for n in (1, 2, 3)])).alias("label")).select(F.col("item_id").alias("skill_id"), "label").dropDuplicates(["label"])
+    labels = table(spark, d, "benchmark").select("item_id", F.explode(F.array(*[F.array_join(F.slice(words, 1, n), " ") for n in (1, 2, 3)])).alias("label")).groupBy("label").agg(F.min("item_id").alias("skill_id"))
     found = extract.dictionary_matches(_docs(spark, d), labels, most=3)
     return extract.longest_per_skill(selection.non_overlapping(found))

@@ -28,8 +28,10 @@ def _swap(df: DataFrame, path: str) -> None:
     spark, new = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
     df.write.parquet(new)
     fs, old = _fs(spark, path)
-    fs.delete(old, True)
+    aside = _fs(spark, f"{new}-old")[1]
+    fs.rename(old, aside)  # a crash between the two leaves the old rows beside the path
     fs.rename(_fs(spark, new)[1], old)
+    fs.delete(aside, True)
 
 
 def insert_new(rows: DataFrame, path: str, key: str = "content_hash") -> int:
