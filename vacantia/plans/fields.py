@@ -143,7 +143,7 @@ def timing_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""SELECT count(DISTINCT job_id) AS total_documents, count(*) AS total_skills, round(count(*) / count(DISTINCT job_id), 6) AS skills_per_document, count(DISTINCT skill_text) AS unique_skills,
- count(*) FILTER (len(string_split(skill_text, ' ')) = 1) AS unigrams, count(*) FILTER (len(string_split(skill_text, ' ')) = 2) AS bigrams, count(*) FILTER (len(string_split(skill_text, ' ')) = 3) AS trigrams, round(avg(confidence_score), 6) AS mean_confidence FROM extracted_skills""")
+ count(*) FILTER (len(string_split(skill_text, ' ')) = 1) AS unigrams, count(*) FILTER (len(string_split(skill_text, ' ')) = 2) AS bigrams, count(*) FILTER (len(string_split(skill_text, ' ')) = 3) AS trigrams, round(avg(confidence_score), 4) AS mean_confidence FROM extracted_skills""")
 def ngram_stats(spark: SparkSession, d: str) -> DataFrame:
     """Extraction statistics by n-gram length."""
     size = F.size(F.split("skill_text", " "))
@@ -153,7 +153,7 @@ def ngram_stats(spark: SparkSession, d: str) -> DataFrame:
         F.round(F.count(F.lit(1)) / F.count_distinct("job_id"), 6).alias("skills_per_document"),
         F.count_distinct("skill_text").alias("unique_skills"),
         *[F.count_if(size == n).alias(name) for n, name in ((1, "unigrams"), (2, "bigrams"), (3, "trigrams"))],
-        F.round(F.avg("confidence_score"), 6).alias("mean_confidence"),
+        F.round(F.avg("confidence_score"), 4).alias("mean_confidence"),
     )
 
 
