@@ -120,8 +120,10 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     Least squares over documents: half of (E - G)' A^-1 (E - G), with E the expected tokens by domain, G the
     wanted ones and A the tokens shared by two domains' posteriors. In the metric of 1/tokens its gradient for
     a document is the posterior times A^-1 (E - G), its curvature is at most 1, so full steps go down, and
-    the projection is a clip to [0, ``most``]. Every step sums E over all documents; the driver sees one row
-    of domain totals. With ``most`` the budget is at most what the target domains have.
+    the projection is a clip to [0, ``most``]. A step first tries the curvature of the documents that no bound
+    holds, which is lower and needs few steps; one that doesn't go down is taken back for a full step in the fixed
+    metric. Every step sums E and the curvature over all documents; the driver sees one row of domain totals.
+    With ``most`` the budget is at most what the target domains have.
     """
     size = len(domains)
     p = [F.col(f"p{k}") for k in range(size)]
@@ -142,21 +144,29 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
         to = rate - sum((x * F.lit(float(m)) for x, m in zip(p, step, strict=True)), F.lit(0.0))
         return F.greatest(F.lit(0.0), to if most is None else F.least(F.lit(float(most)), to))
 
-    rows, rate, before, at = members, F.lit(1.0 if most is None else min(1.0, float(most))), None, 0
+    free = (F.col("rate") > 0) & (F.lit(True) if most is None else F.col("rate") < F.lit(float(most)))
+    rows, rate, at, best = members, F.lit(1.0 if most is None else min(1.0, float(most))), 0, None
     while True:
         now = rows.withColumn("rate", rate)
-        got = now.agg(*[F.sum(F.col("tokens") * F.col("rate") * x).alias(f"e{k}") for k, x in enumerate(p)]).first()
+        curved = [F.sum(F.when(free, F.col("tokens") * p[i] * p[j])).alias(f"g{i}_{j}") for i in range(size) for j in range(i, size)]
+        got = now.agg(*[F.sum(F.col("tokens") * F.col("rate") * x).alias(f"e{k}") for k, x in enumerate(p)], *curved).first()
         off = np.array([got[f"e{k}"] for k in range(size)]) - goal
         worth = float(off @ inverse @ off)
-        if np.abs(off).max() <= MISS * goal.sum() or before is not None and before - worth < GAIN * before:
-            break
-        before, at = worth, at + 1
+        if best is not None and worth >= best[0]:
+            if not best[3]:  # a full step in the fixed metric gains nothing more
+                return best[1]
+            rows, rate = best[1], moved(F.col("rate"), inverse @ best[2])
+            best = (*best[:3], False)
+            continue
+        if np.abs(off).max() <= MISS * goal.sum() or best is not None and not best[3] and best[0] - worth < GAIN * best[0]:
+            return now
+        at += 1
         if at % STEPS_WRITTEN == 0:
-            rows = scratch.cut(now, f"rates{at}")
+            now = scratch.cut(now, f"rates{at}")
             scratch.drop(f"rates{at - STEPS_WRITTEN}")
-            rate = F.col("rate")
-        rate = moved(rate, inverse @ off)
-    return now
+        inner = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(size)] for i in range(size)])
+        best = (worth, now, off, True)
+        rows, rate = now, moved(F.col("rate"), np.linalg.inv(inner + 1e-9 * total * np.eye(size)) @ off)
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", most: float | None = None) -> DataFrame:
