@@ -44,7 +44,8 @@ STAGES = [
     ("SentencePiece encoding and decoding", token_ids),
 ]
 
-#: The classifier, mixing and tokenizer stages cannot be stated in SQL; tests compare them with brute force.
+#: The classifier, mixing and tokenizer stages cannot be stated in SQL. Tests hold the dedup and tokenizer stages
+#: against brute force in place, the classifier and mixing as operators against plain versions.
 ORACLE_SQL = None
 
 
