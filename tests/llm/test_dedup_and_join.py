@@ -115,6 +115,27 @@ def test_links_equal_brute_force(spark):
     assert {r.doc_id: r.links for r in ngram_join.similar_components(frame(spark, rows), links=True).collect()} == want
 
 
+def test_unrelated_texts_and_a_family(spark):
+    """Texts without links, a family around the threshold with a sub-family, and copies: components and links."""
+    rnd = random.Random(21)
+    base = [f"b{k}" for k in range(150)]
+    other = [*base[:60], *[f"o{k}" for k in range(25)], *base[85:]]
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(40))) for i in range(30)]
+    for i in range(100, 300):
+        words = list(base if i % 4 else other)
+        for _ in range(rnd.randint(0, 7)):
+            words[rnd.randrange(len(words))] = f"e{rnd.randint(0, 200)}"
+        rows.append((i, " ".join(words)))
+    rows += [(400 + k, rows[40 + k % 3][1]) for k in range(20)]
+    own = {i: sets(t) for i, t in rows}
+    want = {i: sum(i != j and 4 * len(a & b) >= 3 * len(a | b) > 0 for j, b in own.items()) for i, a in own.items()}
+    got = {r.doc_id: r for r in ngram_join.similar_components(frame(spark, rows), links=True).collect()}
+    assert {i: r.links for i, r in got.items()} == want
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute(rows)
+    alone = ngram_join.similar_components(frame(spark, rows[:30])).collect()
+    assert all(r.component_id == r.doc_id for r in alone)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges, Scratch(spark)).collect()}

@@ -3,10 +3,10 @@
 A payload is cut into frames of 24 x 24 grey pixels, nine 8 x 8 blocks of 64 quantised coefficients each.
 The format's unit is the coefficient: every payload byte is the 8 extra bits of one coefficient of size
 category 8 (values -255..-128 and 128..255), coded by one-bit Huffman codes and with a restart marker after
-each block, so entropy coding keeps all bytes. Reading back parses the RIFF chunks and the index,
-walks each frame's JPEG markers, undoes byte stuffing and unpacks the coefficients; pixels come from
-dequantisation and the inverse DCT. Frames by other encoders (baseline, any Huffman tables) go through a
-general decoder.
+each block, so entropy coding keeps all bytes. Reading back parses the RIFF chunks and the index. A frame
+that begins with this module's own header is unpacked directly: byte stuffing is undone and the bits are
+the coefficients; pixels come from dequantisation and the inverse DCT. For frames by other encoders (baseline, any
+Huffman tables) a general decoder walks the JPEG markers.
 """
 
 from __future__ import annotations
@@ -385,7 +385,11 @@ def decode_media(media: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarra
 
 
 def store_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_bytes`` (unpadded) and ``media``, the text's bytes as an AVI file; null counts as empty."""
+    """Per row: id, ``n_bytes`` (unpadded) and ``media``, the text's bytes as an AVI file.
+
+    Null counts as empty, an empty text is one frame of padding; texts of any length are stored whole; rows that repeat
+    get equal files; null ids are kept, other columns are ignored; an empty table gives no rows.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +436,11 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
 
 def media_digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests of stored files and of the payloads read back from them, with the shots as ``feature``."""
+    """Digests of stored files and of the payloads read back from them, with the shots as ``feature``.
+
+    Rows that repeat get equal results; null ids are kept, other columns are ignored; an empty table gives no rows.
+    512 files are read at a time, so a task's memory follows the largest files.
+    """
     kind = stored.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 

@@ -90,7 +90,8 @@ def format_chats(messages: DataFrame, with_text: bool = True) -> DataFrame:
     Spans are code points of the conversation's output, null where the turn isn't trained on. With
     ``with_text=False`` one row for each conversation: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``,
     ``loss_sha256``, ``formatted_chars``, all read back from the rendered turns. A partition streams through in
-    order; no conversation is held as a whole.
+    order; no conversation is held as a whole, however long. Null roles and texts count as empty; messages that repeat
+    are turns of their own; null ids form a conversation; an empty table gives no rows.
     """
     kind = messages.schema["conv_id"].dataType.simpleString()
     turns = f"conv_id {kind}, nth int, role string, rendered string, loss_start long, loss_end long"

@@ -88,7 +88,8 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     the smallest value of each column in ``dims`` as coordinates, each scaled to 20 bits over the whole
     table. A node is cut at the weighted median (in bytes) of its widest coordinate; cuts inside a tie
     follow the group's hash. Medians come from histograms that all nodes of a level share, so the driver
-    sees at most ``BINS`` rows per open node. With ``target_bytes`` the number of shards is the fewest whose
+    sees at most ``BINS`` rows per open node. Texts of any length are one row; rows that repeat are numbered one after
+    the other; extra columns are ignored. With ``target_bytes`` the number of shards is the fewest whose
     mean is within the target. Null texts have no bytes, null coordinates sort first; an empty table
     gives no rows. ``slot`` numbers the rows of a shard from 0 without gaps.
     """

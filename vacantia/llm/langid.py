@@ -220,7 +220,13 @@ def sample_labelled(docs: DataFrame, learn: Column, id_col: str, text_col: str,
 
 
 def identify(docs: DataFrame, model: LangModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``lang_pred``, ``score``, ``cross_entropy``, ``rejected``; null texts are ``und``."""
+    """Per row: id, ``lang_pred``, ``score``, ``cross_entropy``, ``rejected``.
+
+    Texts that are null or have no letter are ``und`` with a score of 0 and rejected; texts of any length are read whole;
+    equal cross-entropies go to the first language by name. Rows that repeat get equal results, null ids are kept, other
+    columns are ignored, an empty table gives no rows. ``rejected`` marks a text whose cross-entropy lies above what its
+    language's calibration texts have; the prediction stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: bounded by the sample it was fitted on
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -261,7 +261,9 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
 def round_trips(docs: DataFrame, model_file: str, summarise: Callable[[list[int], np.ndarray, np.ndarray, str], tuple], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and what ``summarise(ids, begins, ends, decoded)`` returns, columns as in ``schema``.
 
-    Encoding, spans and decoding of a text happen in one pass, so no array of ids leaves the worker.
+    Encoding, spans and decoding of a text happen in one pass, so no array of ids leaves the worker. Null counts as
+    empty (the end id alone); texts of any length are encoded whole; rows that repeat get equal results, null ids are
+    kept, other columns are ignored, an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

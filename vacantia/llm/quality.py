@@ -194,7 +194,9 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: s
 def score_quality(docs: DataFrame, model: MilModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score``, ``predicted``, ``n_passages`` and ``max_attention``; null texts count as empty.
 
-    Columns of ``docs`` that have these names are replaced. An empty text is a bag of one empty passage.
+    Columns of ``docs`` that have these names are replaced. An empty text is a bag of one empty passage; a text of any
+    length is read whole, passage by passage. Rows that repeat get equal scores, null ids are kept, an empty table
+    gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
     new = ["score", "predicted", "n_passages", "max_attention"]
