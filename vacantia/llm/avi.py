@@ -28,6 +28,8 @@ SIDE = 24
 FPS = 25
 PAD = 255
 BINS = 16
+#: Bytes of stored files that are decoded at once; one larger file forms a slice of its own.
+MEDIA_BYTES = 1 << 21
 #: A cut needs a histogram difference over this floor and over mean + DEVIATIONS deviations of the differences before it.
 FLOOR, DEVIATIONS, WINDOW = 0.12, 2.0, 12
 
@@ -411,8 +413,7 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in slices(batch, "media", MEDIA_BYTES):
                 both = [(i, m) for i, m in zip(column(part, "id").to_pylist(), column(part, "media").to_pylist(), strict=True) if m is not None]
                 if not both:
                     continue
@@ -439,15 +440,14 @@ def media_digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests of stored files and of the payloads read back from them, with the shots as ``feature``.
 
     Rows that repeat get equal results; null ids are kept, other columns are ignored; an empty table gives no rows.
-    512 files are read at a time, so a task's memory follows the largest files.
+    Files are read in slices of about ``MEDIA_BYTES``, so a task's memory follows the largest file.
     """
     kind = stored.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, "media", MEDIA_BYTES):
                 media = column(part, "media").to_pylist()
                 payloads, hist, counts, step = decode_media(media)
                 first = np.zeros(int(counts.sum()), bool)
