@@ -124,6 +124,15 @@ def test_fold(spark):
     assert spans == ["good day"]
 
 
+def test_fold_of_many_deltas(spark):
+    said = [(1, 0, 0, "begin", "Assistant", "x")] + [(1, 0, i, "delta", None, f"{i} ") for i in range(1, 20_000)]
+    said += [(2, 0, 0, "delta", "assistant", "a"), (2, 0, 1, "delta", None, "b"), (2, 0, 2, "edit", None, "c"), (2, 0, 3, "delta", None, "d")]
+    got = {r.conv_id: r for r in chat.format_chats(chat.fold_events(log(spark, said))).collect()}
+    assert got[1].rendered == chat.render_turn("Assistant", "x" + "".join(f"{i} " for i in range(1, 20_000)))
+    assert got[1].loss_start is None  # another role
+    assert got[2].rendered == chat.render_turn("assistant", "cd")
+
+
 def test_digests_equal_brute_force(spark):
     rows = [(c, t, "assistant" if t % 2 else "user", HARD[(c + t) % len(HARD)] if (c + t) % 5 else None) for c in range(6) for t in range(7)]
     rows += [(9, 0, "user", "same"), (9, 0, "user", "same"), (9, None, None, "x"), (None, 0, "assistant", "n")]

@@ -80,7 +80,8 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.min("seq").alias("began"),
         F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone"),
     )
-    text = F.aggregate("log", F.lit(""), lambda acc, x: F.when(x["rank"] < 3, x["text"]).otherwise(F.concat(acc, x["text"])))
+    start = F.array_max(F.transform("log", lambda x, i: F.when(x["rank"] < 3, i + 1).otherwise(1)))  # what came before is replaced
+    text = F.array_join(F.transform(F.slice("log", start, F.size("log")), lambda x: x["text"]), "")
     return folded.select("conv_id", "message", "role", text.alias("text"), "began", "redone")
 
 
@@ -90,7 +91,7 @@ def format_chats(messages: DataFrame, with_text: bool = True) -> DataFrame:
     Spans are code points of the conversation's output, null where the turn isn't trained on. With
     ``with_text=False`` one row for each conversation: ``conv_id``, ``n_turns``, ``turns_sha256``, ``loss_chars``,
     ``loss_sha256``, ``formatted_chars``, all read back from the rendered turns. A partition streams through in
-    order; no conversation is held as a whole, however long. Null roles and texts count as empty; messages that repeat
+    order; no conversation is held as a whole, however long. Only the role ``assistant``, written so, is trained on. Null roles and texts count as empty; messages that repeat
     are turns of their own; null ids form a conversation; an empty table gives no rows.
     """
     kind = messages.schema["conv_id"].dataType.simpleString()
@@ -126,7 +127,7 @@ def format_chats(messages: DataFrame, with_text: bool = True) -> DataFrame:
                 if again is not None:
                     redone = again if redone is None else max(redone, again)
                 rendered = render_turn(role or "", text or "")
-                trained = (role or "").lower() == TRAINED
+                trained = role == TRAINED
                 ((back_role, back, start, end),) = parse(rendered)
                 if with_text:
                     rows.append((c, n, back_role, rendered, chars + start if trained else None, chars + end if trained else None))
