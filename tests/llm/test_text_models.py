@@ -293,3 +293,11 @@ def test_encode_frame(spark):
     back = {r.doc_id: r.text for r in pieces.decode(got, q.piece_model()).collect()}
     assert back[1] == "the fox"
     assert q.token_digests(docs.limit(0)).count() == 0
+
+
+def test_labelled_sample_is_bounded(spark):
+    """An id in most of the rows, with several labels and texts, is one row of the sample."""
+    docs = spark.createDataFrame([(1, f"copy {i:03d}") for i in range(300)] + [(2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
+    got = quality.sample_labelled(docs, labels, F.lit(True), "doc_id", "text", "quality", 10)
+    assert got == (["copy 000", ""], [1, 0])

@@ -181,13 +181,14 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: s
     """The ``most`` labelled rows with the smallest id hashes: the bound of the fit.
 
     The sampled labels are bounded by ``most``, so they may be broadcast to the text. Of several labels of an id
-    the largest counts; rows that repeat an id and text beyond ``2 * most`` rows in all are left out of the fit.
+    the largest counts, of several texts the smallest, so no more than ``most`` rows come to the driver.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(learn).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     order = F.xxhash64("_id", F.lit("label"))
     picked = known.where(order / float(1 << 63) < F.lit(4.0 * most / max(known.count(), 1) - 1.0)).orderBy(order, "_id").limit(most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id").select("_id", "_t", "_y").toArrow()
-    both = sorted(zip(rows.column("_id").to_pylist(), rows.column("_t").to_pylist(), rows.column("_y").to_pylist(), strict=True))[: 2 * most]
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id")
+    rows = rows.groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y")).toArrow()
+    both = sorted(zip(rows.column("_id").to_pylist(), rows.column("_t").to_pylist(), rows.column("_y").to_pylist(), strict=True))
     return [b[1] for b in both], [b[2] for b in both]
 
 
