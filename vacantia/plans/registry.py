@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-MODULES = ("market", "workload", "quality", "texts", "matching", "vectors", "streams", "reports", "fields")
+MODULES = ("market", "workload", "quality", "texts", "matching", "vectors", "streams", "reports", "fields", "stages")
 
 
 def register(sql: str | None = None) -> Callable[[Query], Query]:
