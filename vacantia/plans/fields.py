@@ -103,7 +103,7 @@ _JOBS = "SELECT job_id, country, language, CASE job_id % 6 WHEN 0 THEN 'Backend
 
 def _titled(spark: SparkSession, d: str) -> DataFrame:
     title = F.expr("CASE job_id % 6 WHEN 0 THEN 'Backend Developer' WHEN 1 THEN 'Engineer' WHEN 2 THEN 'Project Manager' WHEN 3 THEN 'Full-time stack QA' WHEN 4 THEN 'Civil Engineer' ELSE title END")
-    return S.raw_jobs(spark, d).select("job_id", "country", "language", title.alias("title"), F.round("salary").cast("long").alias("size"))
+    return S.raw_jobs(spark, d).select("job_id", "country", "language", title.alias("title"), F.rint("salary").cast("long").alias("size"))
 
 
 @register(f"WITH j AS ({_JOBS}), t AS (SELECT *, lower(title) AS t FROM j) SELECT job_id, (({_TECH} OR t LIKE '%full%stack%') AND NOT ({_OTHER})) AS wanted, trim(t) NOT IN {screening.GENERIC_TITLES} AND (job_id % 3 <> 0 OR size >= 95) AS specific FROM t")
