@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 from test_queries import SF, plain
 
+from vacantia.operators import vectors
 from vacantia.plans import registry
 
 
@@ -25,3 +27,22 @@ def test_half_salaries_round_as_in_sql(spark, tmp_path, name):
     names = [c[0] for c in found.description]
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall()), key=str)
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str) == want
+
+
+def test_silhouette_in_slabs(spark):
+    rng = np.random.default_rng(2)
+    x, labels = rng.normal(size=(300, 5)), np.append(rng.integers(-1, 90, 298), (200, 200))
+    df = spark.createDataFrame([(i, x[i].tolist(), int(labels[i])) for i in range(300)], "vec_id long, embedding array<double>, label int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    names, want = sorted(set(labels.tolist()) - {-1}), {}
+    for k in names:
+        own = labels == k
+        a, b = d[own][:, own].sum(1) / max(1, own.sum() - 1), np.min([d[own][:, labels == j].mean(1) for j in names if j != k], axis=0)
+        want[k] = float(np.mean((b - a) / np.maximum(a, b))) if own.sum() > 1 else 0.0
+    for many in (df, df.where("label < 40")):
+        got = {r["label"]: r["silhouette"] for r in vectors.silhouette(many, block=64, tile=8).collect()}
+        if many is df:
+            assert got == pytest.approx(want)
+    rows = df.where("label >= 0").selectExpr("vec_id AS id", "embedding AS vec", "cast(label AS long) AS label")
+    pairs = vectors.slab_pairs(*[vectors.slabs(rows, 64, columns=("label",))] * 2)
+    assert "CartesianProduct" in pairs._jdf.queryExecution().executedPlan().toString()

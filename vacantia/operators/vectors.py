@@ -82,34 +82,119 @@ def davies_bouldin(df: DataFrame, label: str = "label", vec: str = "embedding")
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, label: str = "label", vec: str = "embedding", id_col: str = "vec_id", block: int = 2048) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once: under the checkpoint folder if the session has one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
+
+
+def slabs(rows: DataFrame, size: int, least: int = 8, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``slab``, ``id``, ``vec`` (binary, 64-bit numbers and 32 or 64-bit floats) and further 64-bit ``columns``: about ``size``
+    rows (``id``, ``vec``) in a row, and at least ``least`` slabs if there are rows enough. Written once."""
+    n = max(1, -(-rows.count() // size), min(least, rows.count() // 1024))
+    kind = np.float32 if rows.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = {c: [] for c in ("id", "vec", *columns)}
+        for pdf in batches:
+            for c in got if len(pdf) else ():
+                got[c].append((np.stack(pdf[c].to_numpy()).astype(kind) if c == "vec" else pdf[c].to_numpy(np.int64)).tobytes())
+        if got["id"]:
+            yield pd.DataFrame({c: [b"".join(x)] for c, x in got.items()})
+
+    packed = rows.select("id", "vec", *columns).repartition(n).mapInPandas(pack, ", ".join(f"{c} binary" for c in ("id", "vec", *columns)))
+    return cut(packed.withColumn("slab", F.monotonically_increasing_id()).withColumn("wide", F.lit(kind is np.float64)))
+
+
+def slab_pairs(a: DataFrame, b: DataFrame, both: bool = False) -> DataFrame:
+    """Each slab with itself and those after it, or with all if ``both``: columns end in 1 and 2. A pair is a task; nothing is shuffled."""
+    one, two = (df.select([F.col(c).alias(c + k) for c in df.columns]) for df, k in ((a, "1"), (b, "2")))
+    return one.hint("shuffle_replicate_nl").join(two, F.lit(True) if both else F.col("slab1") <= F.col("slab2"))
+
+
+def unpack(row, side: str, *columns: str) -> tuple:  # noqa: ANN001
+    """Ids, vectors in 64 bits and further columns of one side of a pair."""
+    ids = np.frombuffer(row[f"id{side}"], np.int64)
+    vec = np.frombuffer(row[f"vec{side}"], np.float64 if row[f"wide{side}"] else np.float32).astype(np.float64).reshape(len(ids), -1)
+    return ids, vec, *[np.frombuffer(row[c + side], np.int64) for c in columns]
+
+
+def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``x`` and ``y``."""
+    d = x @ (-2 * y.T)
+    d += (x * x).sum(1)[:, None]
+    d += (y * y).sum(1)
+    return d
+
+
+def silhouette(df: DataFrame, label: str = "label", vec: str = "embedding", id_col: str = "vec_id", block: int = 65536, tile: int = 512) -> DataFrame:
     """``label``, ``n``, ``silhouette``: mean over points of (b - a) / max(a, b) with euclidean distances, noise left out.
 
-    Blocks of points meet in matrix products that yield distance sums by (point, cluster); a point alone in its cluster counts as 0.
+    Exact, so the time grows with the square of the points. A task is a pair of slabs, of which one point in turn
+    meets the other in tiles of products; it yields the distance sums of its points by cluster. What is kept grows with
+    points times clusters times slabs, memory with ``block``; a point alone in its cluster counts as 0.
     """
     rows = df.where(F.col(label) != -1).select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vec).alias("vec"))
-    n = max(1, -(-rows.count() // block))
-    at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left, right = rows.withColumn("qb", at).withColumn("bb", each), rows.withColumn("bb", at).withColumn("qb", each)
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "label": [], "other": [], "total": [], "n": []})
-        x, y = (np.stack(p["vec"].to_numpy()).astype(np.float64) for p in (a, b))
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-        d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = 0
-        names, which = np.unique(b["label"].to_numpy(), return_inverse=True)
-        total = d @ np.eye(len(names))[which]
-        size = np.bincount(which)
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(names)), "label": np.repeat(a["label"].to_numpy(), len(names)), "other": np.tile(names, len(a)), "total": total.ravel(), "n": np.tile(size, len(a))})
-
-    pairs = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInPandas(sums, "id long, label long, other long, total double, n long")
-    per = pairs.groupBy("id", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    own = F.col("label") == F.col("other")
-    point = per.groupBy("id", "label").agg(F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return point.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
+    clusters = max(1, rows.select("label").distinct().count())
+    size = max(min(block, 2048), min(block, (1 << 23) // clusters))
+    part = max(1, min(size, (1 << 23) // clusters))
+    points = slabs(rows, size, columns=("label",))
+
+    def told(ids: np.ndarray, slab: int, label: np.ndarray, total: np.ndarray, names: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(ids), part):
+            yield pd.DataFrame({"slab": [slab], "part": [at], "label": [label[at : at + part].tobytes()], "names": [names.tobytes()], "n": [n.tobytes()], "total": [np.ascontiguousarray(total[at : at + part]).tobytes()]})
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in (r for pdf in batches for r in pdf.to_dict("records")):
+            (ia, x, la), (ib, y, lb) = unpack(row, "1", "label"), unpack(row, "2", "label")
+            same, order = row["slab1"] == row["slab2"], np.argsort(lb, kind="stable")
+            names, first, n = np.unique(lb[order], return_index=True, return_counts=True)
+            y, sorted_ids = y[order], ib[order]
+            mine, code, m = np.unique(la, return_inverse=True, return_counts=True)
+            left, right = np.zeros((len(ia), len(names))), np.zeros((len(mine), len(ib)))
+            for i in range(0, len(ia), tile):
+                at = slice(i, i + tile)
+                hot = np.eye(len(mine))[code[at]].T if not same and len(mine) <= 64 else None
+                for lo in range(0, len(ib), 4096):
+                    hi = min(lo + 4096, len(ib))
+                    d = squared(x[at], y[lo:hi])
+                    if same:
+                        d[ia[at, None] == sorted_ids[None, lo:hi]] = 0
+                    np.sqrt(np.maximum(d, 0, out=d), out=d)
+                    k = np.unique(np.searchsorted(first, np.arange(lo, hi), "right") - 1) if len(first) > 1 else np.zeros(1, int)
+                    left[at, k] += np.add.reduceat(d, np.maximum(first[k] - lo, 0), axis=1)
+                    if hot is not None:
+                        right[:, lo:hi] += hot @ d
+                    elif not same:
+                        np.add.at(right[:, lo:hi], code[at], d)
+            yield from told(ia, row["slab1"], la, left, names, n)
+            if not same:
+                back = np.empty((len(ib), len(mine)))
+                back[order] = right.T
+                yield from told(ib, row["slab2"], lb, back, mine, m)
+
+    def point(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = np.frombuffer(pdf["label"].iloc[0], np.int64)
+        every = [np.frombuffer(x, np.int64) for x in pdf["names"]]
+        names = np.unique(np.concatenate(every))
+        total, n = np.zeros((len(label), len(names))), np.zeros(len(names))
+        for here, sizes, sums in zip(every, pdf["n"], pdf["total"], strict=True):
+            at = np.searchsorted(names, here)
+            n[at] += np.frombuffer(sizes, np.int64)
+            total[:, at] += np.frombuffer(sums, np.float64).reshape(len(label), -1)
+        row, own = np.arange(len(label)), np.searchsorted(names, label)
+        mean = total / n
+        mean[row, own] = np.inf
+        b = mean.min(1)
+        alone = (n[own] < 2) | ~np.isfinite(b)
+        a = total[row, own] / np.maximum(n[own] - 1, 1)
+        with np.errstate(invalid="ignore"):
+            s = np.where(alone, 0.0, (b - a) / np.maximum(a, b))
+        got, where, count = np.unique(label, return_inverse=True, return_counts=True)
+        return pd.DataFrame({"label": got, "n": count, "s": np.bincount(where, s)})
+
+    pairs = slab_pairs(points, points).mapInPandas(sums, "slab long, part long, label binary, names binary, n binary, total binary")
+    per = pairs.groupBy("slab", "part").applyInPandas(point, "label long, n long, s double")
+    return per.groupBy("label").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("silhouette"))
 
 
 def cluster_summary(points: DataFrame, top: int = 5, cluster: str = "cluster", skill: str = "skill", frequency: str = "frequency") -> DataFrame:
