@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_queries import SF, plain
 
-from vacantia.operators import vectors
+from vacantia.operators import selection, vectors
 from vacantia.plans import registry
 
 
@@ -46,3 +46,19 @@ def test_silhouette_in_slabs(spark):
     rows = df.where("label >= 0").selectExpr("vec_id AS id", "embedding AS vec", "cast(label AS long) AS label")
     pairs = vectors.slab_pairs(*[vectors.slabs(rows, 64, columns=("label",))] * 2)
     assert "CartesianProduct" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_are_streamed_over_documents(spark):
+    rng = np.random.default_rng(6)
+    rows = list({(d if d else None, int(a), int(a) + n - 1, n) for d in range(9) for a, n in zip(rng.integers(0, 60, 80), rng.integers(1, 4, 80).tolist(), strict=True)})
+    df = spark.createDataFrame(rows, "doc_id long, start int, end int, size int")
+    want = []
+    for d in {r[0] for r in rows}:
+        taken = set()
+        for r in sorted((r for r in rows if r[0] == d), key=lambda r: (-r[3], r[1])):
+            if taken.isdisjoint(span := range(r[1], r[2] + 1)):
+                taken.update(span)
+                want.append(r)
+    out = selection.non_overlapping(df)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()

@@ -106,10 +106,12 @@ def ngram_dictionary(labels: DataFrame, label_col: str = "label", id_col: str =
 
 
 def dictionary_matches(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", label_id: str = "skill_id", most: int = 4, least: int = 3) -> DataFrame:
-    """``doc_id``, ``skill_id``, ``ngram``, ``start``, ``end``, ``size`` for each n-gram that equals a label's matching form."""
+    """``doc_id``, ``skill_id``, ``ngram``, ``start``, ``end``, ``size`` for each n-gram that equals a label's matching form.
+
+    The labels, a taxonomy that fits the memory of each executor, are broadcast, so that no other n-gram is shuffled."""
     known = labels.select(F.col(label_id).alias("skill_id"), T.matching_form(label_col).alias("ngram")).distinct()
     grams = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.ngrams(T.matching_form(text_col), most)).alias("g")).select("doc_id", "g.*")
-    return grams.where(F.length("ngram") >= least).join(known, "ngram").select("doc_id", "skill_id", "ngram", "start", "end", "size")
+    return grams.where(F.length("ngram") >= least).join(F.broadcast(known), "ngram").select("doc_id", "skill_id", "ngram", "start", "end", "size")
 
 
 def longest_per_skill(matches: DataFrame) -> DataFrame:

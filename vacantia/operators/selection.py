@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +64,26 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def non_overlapping(matches: DataFrame, doc: str = "doc_id", start: str = "start", end: str = "end", size: str = "size") -> DataFrame:
     """Greedy choice per document: larger matches first, then earlier ones; a match that meets a chosen one goes.
 
-    A group is the matches of one document.
+    Rows are dealt by document and sorted, then streamed: no document is held as a whole but for the places taken.
+    Matches of one span go by their other columns in order.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        keep = []
-        for row in pdf.sort_values([size, start, end], ascending=[False, True, True], kind="stable").itertuples():
-            span = range(getattr(row, start), getattr(row, end) + 1)
-            if taken.isdisjoint(span):
-                taken.update(span)
-                keep.append(row.Index)
-        return pdf.loc[keep]
-
-    return matches.groupBy(doc).applyInPandas(choose, matches.schema)
+    others = [c for c, kind in matches.dtypes if c not in (doc, start, end, size) and not kind.startswith(("map", "variant"))]
+    rows = matches.repartition(doc).sortWithinPartitions(doc, F.desc(size), start, end, *others)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, taken = object(), set()
+        for batch in batches:
+            keep = []
+            for d, a, z in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (doc, start, end)), strict=True):
+                if d != of:
+                    of, taken = d, set()
+                span = range(a, z + 1)
+                keep.append(taken.isdisjoint(span))
+                if keep[-1]:
+                    taken.update(span)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(choose, matches.schema)
 
 
 def drop_contained(candidates: DataFrame, doc: str = "doc_id", ngram: str = "ngram") -> DataFrame:
