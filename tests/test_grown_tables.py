@@ -1,12 +1,15 @@
 """Queries on tables with rows that the driver's smallest ones lack."""
 
+import itertools
 import os
+import random
 
 import numpy as np
 import pytest
 from test_queries import SF, plain
 
-from vacantia.operators import selection, vectors
+from vacantia.functions import fuzzy
+from vacantia.operators import dedup, selection, vectors
 from vacantia.plans import registry
 
 
@@ -62,3 +65,39 @@ def test_overlaps_are_streamed_over_documents(spark):
     out = selection.non_overlapping(df)
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
     assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_are_the_trigrams_whatever_the_parts(spark):
+    texts = ["", "a", " ", "Ab  c, ab!", "x" * 40, "Ñandú_1 niño e\u0301 ß \U00010400z", None, "the cat the hat " * 9, "--"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = df.select(fuzzy.spaced_words(df.text).alias("w"), fuzzy.trigrams(df.text).alias("x")).collect()
+    for most in (5, 30, 1 << 18):
+        for got, r in zip(dedup._sets([r.w for r in rows], most), rows, strict=True):
+            got = [got[i : i + 3] for i in range(0, len(got), 3)]
+            assert got == sorted(r.x or [])
+
+
+def test_near_links_of_copies_and_families(spark):
+    rnd = random.Random(4)
+    words = [rnd.choice("bcdfg") + rnd.choice("aeiou") * rnd.randint(1, 2) + rnd.choice("lmnrs") for _ in range(400)]
+    rows = [(i, "de", "one text with many copies") for i in range(900, 600, -1)] + [(901, None, "one text with many copies"), (902, None, "one text with many copies")]
+    for i in range(160):
+        base = words[i % 5 * 60 : i % 5 * 60 + 60]
+        base[rnd.randrange(60)] = rnd.choice(words)
+        rows.append((i, rnd.choice(("en", "de")), " ".join(rnd.sample(base, 60))))
+
+    def grams(text):
+        return frozenset(f"  {w} "[k : k + 3] for w in text.split() for k in range(len(w) + 1))
+
+    sets = [(i, t, grams(x)) for i, t, x in rows]
+    names = {}
+    for i, t, x in sets:
+        names[t, x] = min(i, names.get((t, x), i))
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    for least, block in ((0.95, 16384), (0.9, 40), (0.7, 64)):
+        want = {tuple(sorted((i, j))) for ((t, x), i), ((u, y), j) in itertools.combinations(names.items(), 2) if t == u and t and len(x & y) / len(x | y) >= least}
+        want |= {(names[t, x], i) for i, t, x in sets if t and names[t, x] != i}
+        found = dedup.near_links(df, "doc_id", "lang", "text", body_least=least, block=block)
+        got = [(r.id_1, r.id_2) for r in found.collect()]
+        assert len(want) > 300 and len(got) == len(set(got)) and set(got) == want
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()

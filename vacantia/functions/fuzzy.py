@@ -13,9 +13,14 @@ from pyspark.sql.types import DoubleType
 from vacantia.functions.text import let
 
 
+def spaced_words(text: Column) -> Column:
+    """Words in lower case; whatever is no part of a word becomes one space."""
+    return F.regexp_replace(F.lower(text), r"(?U)[^\w]+", " ")
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each word, padded by two spaces before and one after."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w]+", " "), " "), lambda w: w != "")
+    words = F.filter(F.split(spaced_words(text), " "), lambda w: w != "")
     each = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i.cast("int"), F.lit(3))))
     return F.array_distinct(F.flatten(each))
 
