@@ -9,7 +9,7 @@ import pytest
 from test_queries import SF, plain
 
 from vacantia.functions import fuzzy
-from vacantia.operators import dedup, selection, vectors
+from vacantia.operators import dedup, selection, tfidf, vectors
 from vacantia.plans import registry
 
 
@@ -101,3 +101,18 @@ def test_near_links_of_copies_and_families(spark):
         got = [(r.id_1, r.id_2) for r in found.collect()]
         assert len(want) > 300 and len(got) == len(set(got)) and set(got) == want
     assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_vocabulary_counts_what_can_be_in_it(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)] + ["ñu", "c++"]
+    rows = [(i % 70 if i else None, " ".join(rnd.choices(words, range(1, 33), k=rnd.randint(0, 60))) if i % 9 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    for features, share, stop in ((40, 0.3, ()), (150, 0.9, ("w20",)), (100000, 1.0, ())):
+        vocab = tfidf.vocabulary(tfidf.terms(df, 3, stop), 70, share=share, features=features)
+        want = {(r.term, r.df, r.idf) for r in vocab.collect()}
+        counts = sorted(map(tuple, tfidf.terms_of(df, vocab, 3, stop).select("doc", "term", "tf").collect()), key=str)
+        found, tf = tfidf.top_vocabulary(df, 70, features, 3, share=share, stopwords=stop)
+        assert {(r.term, r.df, r.idf) for r in found.collect()} == want
+        assert sorted(map(tuple, tf.collect()), key=str) == counts
+    assert not tfidf.top_vocabulary(df.where("text = ''"), 0, 10)[1].count()
