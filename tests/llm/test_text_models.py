@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -221,6 +222,29 @@ def test_scores_equal_brute_force(spark):
     assert lattice.score_texts(docs.limit(0), q.piece_model(), F.lit(True)).count() == 0
 
 
+def test_fragments_send_sums_of_documents_with_words_in_them(spark):
+    """The sums follow the words of the documents, not their number times that of the fragments."""
+    rnd = random.Random(9)
+    rows = [(i, " ".join(f"w{rnd.randint(0, 3000)}" for _ in range(i % 6))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "row long, text string").coalesce(1)
+    names, p = lattice.vocabulary(q.piece_model())
+    words = lattice.count_words(docs.withColumn("train", F.col("row") % 3 != 0))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return lattice._join_fragment(1000, 700, batches)
+
+    found = {}
+    for fragments in (2, 500):
+        packed = lattice._vocabulary_rows(words, lattice.build(names, p, 0.01), fragments).unionByName(lattice._document_rows(docs, fragments))
+        joined = packed.groupBy("frag").applyInArrow(join, "owner long, ids binary, sums binary").cache()
+        sent = joined.agg(F.sum(F.octet_length("sums"))).first()[0]
+        assert sent <= 22 * sum(len(set(t.split())) for _, t in rows)
+        found[fragments] = {r.row: (r.words, r.known, r.base, r.lattice) for r in joined.groupBy("owner").applyInArrow(lattice._add_up, "row long, words long, known long, base double, lattice double").collect()}
+    assert len(found[2]) == len(rows)
+    for i, t in rows:
+        assert found[500][i] == pytest.approx(found[2][i]) and found[2][i][0] == len(t.split())
+
+
 def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a")], "doc_id long, text string")
     got = lattice.score_texts(docs, q.piece_model(), F.lit(True)).collect()

@@ -351,22 +351,35 @@ def _join_fragment(n_train: int, distinct: int, batches: Iterator[pa.RecordBatch
         with np.errstate(divide="ignore"):
             z = np.logaddexp(np.log(count / (n_train + distinct)), np.log(distinct / (n_train + distinct)) + z * np.log(10)) / np.log(10)
     for owner, ids, hs, posting, doc, times in waiting:
-        n = len(ids) // 16 if len(ids) > 8 or not len(ids) else int.from_bytes(ids, "little")
         at = np.repeat(np.searchsorted(hashes, np.frombuffer(hs, np.uint64)), np.frombuffer(posting, np.uint16))
         doc, times = np.frombuffer(doc, np.uint16), np.frombuffer(times, np.uint32).astype(float)
-        sums = [np.bincount(doc, times * v[at], n) for v in ((count > 0).astype(float), base, z)] if len(at) else [np.zeros(n)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([ids if len(ids) != 8 else b""], pa.binary()), pa.array([np.concatenate(sums).tobytes()], pa.binary())], ["owner", "ids", "sums"])
+        some, place = np.unique(doc, return_inverse=True)
+        known, low, high = (np.bincount(place, times * v[at], len(some)) for v in ((count > 0).astype(float), base, z)) if len(at) else [np.zeros(0)] * 3
+        sums = low.tobytes() + high.tobytes() + np.rint(known).astype(np.uint32).tobytes() + some.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int64()), pa.array([ids], pa.binary()), pa.array([sums], pa.binary())], ["owner", "ids", "sums"])
+
+
+#: Bytes of a document's sums in one fragment: base and lattice, known words, its place in the slice.
+_SUMS = 8 + 8 + 4 + 2
+
+
+def _documents(ids: bytes) -> int:
+    """Documents of a slice: the fragment 0 has their row numbers and words, the others have how many there are."""
+    return int.from_bytes(ids, "little") if len(ids) == 8 else len(ids) // 16
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, ids = None, b""
+    """A slice's sums over all fragments. A fragment tells only of documents that have words in it."""
+    total, known = None, b""
     for batch in batches:
-        for i, s in zip(column(batch, "ids").to_pylist(), column(batch, "sums").to_pylist(), strict=True):
-            part = np.frombuffer(s, np.float64)
-            total = part.copy() if total is None else total + part
-            ids = ids or i
-    known = np.frombuffer(ids, np.int64).reshape(2, -1)
-    total = total.reshape(3, -1)
+        for ids, s in zip(column(batch, "ids").to_pylist(), column(batch, "sums").to_pylist(), strict=True):
+            total = np.zeros((3, _documents(ids))) if total is None else total
+            known = ids if len(ids) != 8 else known
+            k = len(s) // _SUMS
+            doc = np.frombuffer(s, np.uint16, k, 20 * k)
+            for row, (kind, at) in enumerate(((np.uint32, 16 * k), (np.float64, 0), (np.float64, 8 * k))):
+                total[row, doc] += np.frombuffer(s, kind, k, at)
+    known = np.frombuffer(known, np.int64).reshape(2, -1)
     yield pa.RecordBatch.from_arrays([pa.array(known[0]), pa.array(known[1]), pa.array(np.rint(total[0]).astype(np.int64)), pa.array(total[1]), pa.array(total[2])], ["row", "words", "known", "base", "lattice"])
 
 
@@ -376,8 +389,8 @@ def score_texts(docs: DataFrame, model_file: str, train: Column, id_col: str = "
     Tokens are the words of the text (A-Z lowered) and one end. ``base_score`` is the add-0.1 unigram model of
     words, ``score`` the lattice's with its whole words, both in log10 and learned from rows where ``train`` holds;
     the end has the same probability in both. All words of the corpus are counted and solved; documents meet
-    their words in fragments of the hash order, whose number follows the bytes of the text, and each slice of
-    documents gets its sums. Null texts count as empty (the end alone), null ids are kept, repeated rows get equal
+    their words in fragments of the hash order, whose number follows the bytes of the text, and a fragment sends
+    each slice of documents the sums of those that have words in it. Null texts count as empty (the end alone), null ids are kept, repeated rows get equal
     results, texts of any length are read whole (a word of more than ``LONG`` bytes is solved in blocks, its memory
     16 bytes a byte), other columns are ignored; an empty table gives no rows.
     """
